@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import catalog, copies
+from ledgerloom.llm import catalog, copies, encoding
 from ledgerloom.session import table
 
 
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every damaged record with the chains it went through and its text restored."""
+    of = lambda kind, name, id: encoding.find_damage(table(spark, d, name), id, "text").withColumn("record_kind", F.lit(kind))
+    both = of("document", "documents", "doc_id").unionByName(of("span", "text_spans", "span_id"))
+    return both.withColumnRenamed("id", "record_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_restored(spark, d).select("record_kind", "record_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return catalog.map_names(table(spark, d, "detections"), table(spark, d, "banks_catalog")).withColumnRenamed("id", "detection_id")
 
@@ -22,5 +34,5 @@ def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse_copies(table(spark, d, "transactions"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
 SQL: dict[str, str] = {}
