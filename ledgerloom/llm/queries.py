@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import catalog, copies, encoding
+from ledgerloom.llm import catalog, copies, encoding, language
 from ledgerloom.session import table
 
 
+def p1_labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Each document, or each line of a mixed one, and each translation's source with its language and confidence."""
+    docs = language.label_texts(table(spark, d, "documents"), "doc_id", "text", "lang").withColumn("record_kind", F.lit("document"))
+    sources = language.label_texts(table(spark, d, "translations"), "result_id", "source_text", "source_language", segments=False)
+    return docs.unionByName(sources.withColumn("record_kind", F.lit("translation"))).withColumnRenamed("id", "record_id")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    wrong = F.col("label_code").isNull() | (F.col("label_code") != F.col("lang"))
+    return p1_labelled(spark, d).where((F.col("line_no") >= 0) | wrong).select("record_kind", "record_id", "line_no", "lang")
+
+
 def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     """Every damaged record with the chains it went through and its text restored."""
     of = lambda kind, name, id: encoding.find_damage(table(spark, d, name), id, "text").withColumn("record_kind", F.lit(kind))
@@ -34,5 +46,5 @@ def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse_copies(table(spark, d, "transactions"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_labelled": p1_labelled, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
 SQL: dict[str, str] = {}
