@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import catalog, copies, encoding, language
+from ledgerloom.llm import catalog, copies, encoding, language, mixing, packing, pii, reading
 from ledgerloom.session import table
 
 
@@ -46,5 +46,38 @@ def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse_copies(table(spark, d, "transactions"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_labelled": p1_labelled, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with personal data: what was found, and its text with placeholders."""
+    return pii.find_pii(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = p7_redacted(spark, d).select("doc_id", F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["pii_type"].alias("pii_type"), x["pii_text"].alias("pii_text"))))).alias("x"))
+    return found.select("doc_id", "x.pii_type", "x.pii_text")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen records with their repeats, each with the share that its source reaches."""
+    chosen, shares = mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))
+    return chosen.join(F.broadcast(shares.select("source", "target_share", "actual_share")), "source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.assign_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select(F.col("id").alias("doc_id"), "level")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_labelled, p2_found, p2_restored, p4_found, p6_found, p6_collapsed, p7_found, p7_redacted, p8_packed, p9_mixed, p9_shares, p10_found,
+    )
+}
 SQL: dict[str, str] = {}
