@@ -23,10 +23,11 @@ def parse_decimal(c: Column, scale: int = 2) -> Column:
     x = placeholder_clean(c)
     bracketed = x.rlike(r"^\(.*\)$")
     bare = F.trim(F.regexp_replace(x, r"^\(|\)$", ""))
-    minus = bracketed | bare.rlike(r"^-|-$")
-    core = F.regexp_replace(bare, r"^-|-$", "")
+    core = F.regexp_replace(bare, r"^-", "")
     core = F.regexp_replace(core, r"(?i)^\s*(rs\.?|inr|₹|\$|€|£)\s*", "")
-    core = F.regexp_replace(core, r"(?i)\s*(dr\.?|cr\.?|od|/-)\s*$", "")
+    core = F.trim(F.regexp_replace(core, r"(?i)\s*(dr\.?|cr\.?|od|/-)\s*$", ""))
+    minus = bracketed | bare.startswith("-") | core.endswith("-")
+    core = F.regexp_replace(core, "-$", "")
     core = F.regexp_replace(F.trim(core), ",", "")
     core = F.when(core.rlike(r"^\d{1,3}( \d{3})+(\.\d+)?$"), F.regexp_replace(core, " ", "")).otherwise(core)
     value = F.when(core.rlike(r"^\d+(\.\d+)?$|^\.\d+$"), core.try_cast(f"decimal(38,{scale})"))

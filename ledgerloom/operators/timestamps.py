@@ -177,7 +177,8 @@ def zone_intervals(zones: DataFrame, column: str, first_year: int = 1990, last_y
                     span = {"lo": lo, "hi": hi, "off": off, "abbr": abbr}
                     for y in range(max(first_year, _local_year(lo)), min(last_year, _local_year(hi)) + 1):
                         rows.setdefault((name, y), []).append(span)
-            yield pd.DataFrame({"zone": [k[0] for k in rows], "year": [k[1] for k in rows], "spans": list(rows.values())})
+            if rows:
+                yield pd.DataFrame({"zone": [k[0] for k in rows], "year": [k[1] for k in rows], "spans": list(rows.values())})
 
     names = zones.select(F.col(column).alias("zone")).where("zone is not null").distinct()
     return names.mapInPandas(work, "zone string, year int, spans array<struct<lo:long,hi:long,off:int,abbr:string>>")
