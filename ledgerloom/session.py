@@ -45,3 +45,10 @@ def written(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str, waves: int = 3) -> DataFrame:
+    """``df`` in enough partitions to keep all cores busy. Large inputs have them already and aren't shuffled; a small one in
+    few files is, as work of seconds a megabyte would else wait for one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(waves * cores, key)

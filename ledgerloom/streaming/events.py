@@ -37,8 +37,9 @@ def without_repeats(stream: DataFrame, id: str = "event_id", lateness: str = "1
     return stream.withWatermark("at", lateness).dropDuplicatesWithinWatermark([id])
 
 
-def span_states(stream: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
-    """(user_id, events, last_type, last_us): running state of each key, kept across batches and dropped when idle."""
+def span_states(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(user_id, events, last_type, last_us): running state of each key, kept across batches and, with ``idle_ms``, dropped
+    after as long a silence. Such a clock never comes to rest, so a query that is to end takes none."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,12 +52,13 @@ def span_states(stream: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
             if len(f) and int(f["us"].iloc[-1]) >= last:
                 last, kind = int(f["us"].iloc[-1]), f["event_type"].iloc[-1]
         state.update((n, kind, last))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"user_id": [key[0]], "events": [n], "last_type": [kind], "last_us": [last]})
 
     rows = stream.select("user_id", "event_id", "event_type", F.unix_micros("at").alias("us"))
     return rows.groupBy("user_id").applyInPandasWithState(
-        update, "user_id long, events long, last_type string, last_us long", "events long, last_type string, last_us long", "update", GroupStateTimeout.ProcessingTimeTimeout
+        update, "user_id long, events long, last_type string, last_us long", "events long, last_type string, last_us long", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     )
 
 
