@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.language import forward_backward
 from ledgerloom.llm.pii_seeds import OTHERS, PATTERNS, fill
 from ledgerloom.llm.seeds import SENTENCES
+from ledgerloom.session import spread
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
@@ -91,42 +92,53 @@ def pieces(line: str) -> list[tuple[int, str]]:
     return out
 
 
+@lru_cache(maxsize=100_000)
 def _shape(w: str) -> str:
     x = re.sub(r"[^\W\d_]", "a", re.sub(r"[A-ZÀ-Ý]", "A", re.sub(r"\d", "9", w.translate(_DIGITS))))
     return re.sub(r"(.)\1{3,}", r"\1\1\1+", x)
 
 
-def features(line: str, spans: list[tuple[int, int]], before: str, after: str) -> list[list[str]]:
-    """The feature names of each word; ``before`` and ``after``: last and first word of the neighbouring lines."""
+def contexts(line: str, spans: list[tuple[int, int]], before: str, after: str) -> list[tuple]:
+    """What the features of each word depend on: the word, two neighbours at either side, the punctuation around it, pattern
+    matches, and whether a label word stands shortly before it. ``before``: the line before, if it is one word."""
     words = [line[a:b] for a, b in spans]
     low = [w.lower() for w in words]
     n = len(words)
-    flat = line.translate(_DIGITS)
-    marks: list[list[str]] = [[] for _ in words]
-    for tag, pattern in (("E", EMAIL), ("P", PHONE), ("I", IDENTITY)):
-        for m in pattern.finditer(flat):
+    marks: list[tuple[str, ...]] = [()] * n
+    digits = "9" in line
+    for tag, pattern, possible in (("E", EMAIL, "@" in line or "at" in line or "AT" in line), ("P", PHONE, digits), ("I", IDENTITY, digits)):
+        if not possible:
+            continue
+        for m in pattern.finditer(line):
             a, b = m.span()
             size = sum(c.isdigit() for c in m[0])
-            inside = [i for i, (s, e) in enumerate(spans) if s < b and e > a]
-            for k, i in enumerate(inside):
-                marks[i] += [f"{tag}{'B' if k == 0 else 'I'}", f"{tag}n{size}"]
-    keys = ["<" + before, *[re.sub(r"\d", "9", x.translate(_DIGITS)) for x in low], ">" + after]
+            for k, i in enumerate(i for i, (s, e) in enumerate(spans) if s < b and e > a):
+                marks[i] += (f"{tag}{'B' if k == 0 else 'I'}", f"{tag}n{size}")
+    keys = ["", "<" + before, *low, ">" + after, ""]
+    last_label = -9
     out = []
     for i, w in enumerate(words):
         gap = line[spans[i - 1][1] : spans[i][0]].strip() if i else line[: spans[i][0]].strip()
         tail = line[spans[i][1] : spans[i + 1][0]].strip() if i + 1 < n else line[spans[i][1] :].strip()
-        # each label word among the last five counts for a number that follows it
-        label = any(x.rstrip(".:") in _LABEL_WORDS for x in low[max(0, i - 5) : i])
-        f = [
-            f"s{_shape(w)}", f"p{low[i][:3]}", f"e{low[i][-3:]}", f"-{keys[i]}", f"+{keys[i + 2]}", f"--{keys[i - 1] if i else ''}", f"++{keys[i + 3] if i + 3 < len(keys) else ''}",
-            f"g{gap}", f"t{tail}", f"g{gap}|{keys[i]}", f"S{_shape(w)}|{keys[i]}", f"N{_shape(w)}|{_shape(words[i + 1]) if i + 1 < n else ''}", f"L{label}|{marks[i][:1]}", f"n{min(n, 4)}|{i == 0}",
-        ]
-        if not any(c.isdigit() for c in w):
-            f.append(f"w{low[i]}")
-        out.append(f + marks[i])
+        out.append((w, keys[i + 1], keys[i], words[i + 1] if i + 1 < n else "", keys[i + 3], keys[i + 4], gap, tail, i - last_label <= 5, marks[i], min(n, 4), i == 0))
+        if low[i].rstrip(".:") in _LABEL_WORDS:
+            last_label = i
     return out
 
 
+def features(context: tuple) -> list[str]:
+    """The feature names of a word in its context."""
+    w, p1, p2, following, n1, n2, gap, tail, label, marks, n, first = context
+    shape, low = _shape(w), w.lower()
+    f = [
+        f"s{shape}", f"p{low[:3]}", f"e{low[-3:]}", f"-{p1}", f"+{n1}", f"--{p2}", f"++{n2}", f"g{gap}", f"t{tail}", f"g{gap}|{p1}", f"S{shape}|{p1}",
+        f"N{shape}|{_shape(following) if following else ''}", f"L{label}|{marks[:1]}", f"n{n}|{first}",
+    ]
+    if not any(c.isdigit() for c in w):
+        f.append(f"w{low}")
+    return [*f, *marks]
+
+
 def _ids(names: list[str]) -> list[int]:
     return [zlib.crc32(x.encode()) % DIMS for x in names]
 
@@ -192,8 +204,8 @@ def train(count: int = 3200, epochs: int = 4, rate: float = 0.5, decay: float =
     model, n = Model(), len(LABELS)
     prepared = []
     for text, labels in data:
-        f = features(text.translate(_NINES), tokens(text), "to" if rng.random() < 0.3 else "", "")
-        prepared.append(([np.array(_ids(x)) for x in f], np.array(labels)))
+        seen = contexts(text.translate(_NINES), tokens(text), "to" if rng.random() < 0.3 else "", "")
+        prepared.append(([np.array(_ids(features(x))) for x in seen], np.array(labels)))
     history = np.full_like(model.weights, 1e-2)
     trans_free = _allowed()
     for _ in range(epochs):
@@ -259,21 +271,18 @@ class Tagger:
     def __init__(self, model: Model, keep: int = 50_000) -> None:
         self.model, self.keep = model, keep
         self.known: dict[tuple, tuple] = {}
-        self.hashed: dict[str, int] = {}
+        self.scored: dict[tuple, np.ndarray] = {}
         self.types = np.array([0 if x == "O" else 1 + TYPES.index(x[2:]) for x in LABELS])
 
     def _emit(self, line: str, spans: list, before: str, after: str) -> np.ndarray:
         rows = []
-        for names in features(line, spans, before, after):
-            ids = []
-            for x in names:
-                h = self.hashed.get(x)
-                if h is None:
-                    if len(self.hashed) > 500_000:
-                        self.hashed.clear()
-                    h = self.hashed[x] = zlib.crc32(x.encode()) % DIMS
-                ids.append(h)
-            rows.append(self.model.weights[ids].sum(axis=0))
+        if len(self.scored) > 400_000:
+            self.scored.clear()
+        for context in contexts(line, spans, before, after):
+            got = self.scored.get(context)
+            if got is None:
+                got = self.scored[context] = self.model.weights[_ids(features(context))].sum(axis=0)
+            rows.append(got)
         return np.array(rows)
 
     def _marginals(self, emits: list[np.ndarray]) -> list[np.ndarray]:
@@ -424,7 +433,7 @@ def trim(line: str, s: int, e: int, kind: str) -> tuple[int, int] | None:
         while m := _TITLES.match(x) or _SMALL.match(x):
             s += m.end()
             x = line[s:e]
-        if len(re.sub(r"[\s.,'’-]", "", x)) < 2 or re.search(r"\d", x):
+        if len(re.sub(r"[\s.,'’-]", "", x)) < 2 or re.search(r"[\d\x80-\xbf]", x):
             return None
     return (s, e) if s < e else None
 
@@ -437,6 +446,7 @@ def find_pii(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     and the text with placeholders in their place."""
     model = train()
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") > 0))
+    rows = spread(rows, "id")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)
