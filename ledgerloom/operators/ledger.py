@@ -15,17 +15,33 @@ def _net(debit: str, credit: str) -> Column:
     return F.coalesce(F.col(credit), F.lit(0)) - F.coalesce(F.col(debit), F.lit(0))
 
 
-def running_balance_check(df: DataFrame, keys: Sequence[str], seq: str, debit: str, credit: str, balance: str, opening: str | None = None) -> DataFrame:
+def _cumulated(df: DataFrame, keys: Sequence[str], seq: str, debit: str, credit: str, balance: str, block: int) -> DataFrame:
+    """``df`` with ``_c``, the movements of the group up to each row, and ``_a``, the group's last own balance less its own
+    ``_c`` before the row's block. Rows are summed within blocks of ``seq``, blocks beside each other, so that a group of any
+    size is spread over many tasks; the table of blocks has a row per group and block."""
+    x = df.withColumn("_blk", F.floor(F.col(seq) / block)).withColumn("_net", _net(debit, credit))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(seq)
+    x = x.withColumn("_in", F.sum("_net").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = F.when(F.col(balance).isNotNull(), F.struct(F.col(seq).alias("s"), (F.col(balance) - F.col("_in")).alias("a")))
+    blocks = x.groupBy(*keys, "_blk").agg(F.sum("_net").alias("_t"), F.max(own)["a"].alias("_own"))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    blocks = blocks.withColumn("_a", F.last(F.col("_own") - F.col("_before"), ignorenulls=True).over(before)).select(*keys, "_blk", "_before", "_a")
+    same = [x[k].eqNullSafe(blocks[k]) for k in (*keys, "_blk")]
+    joined = x.join(blocks, same).drop(*[blocks[k] for k in (*keys, "_blk")])
+    return joined.withColumn("_c", F.col("_before") + F.col("_in")).drop("_in", "_before", "_net")
+
+
+def running_balance_check(df: DataFrame, keys: Sequence[str], seq: str, debit: str, credit: str, balance: str, opening: str | None = None, block: int = 1_000_000) -> DataFrame:
     """``df`` with ``expected`` and ``discontinuity``: own balances are checked against the last own balance before them (else
-    the opening) plus the movements since."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = df.withColumn("_grp", F.count(balance).over(before)).withColumn("_last", F.last(balance, ignorenulls=True).over(before))
-    since = Window.partitionBy(*keys, "_grp").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.coalesce("_last", opening) if opening else F.col("_last")
-    x = x.withColumn("expected", start + F.sum(_net(debit, credit)).over(since))
+    the opening) plus the movements since. ``seq`` is a number; ``block`` is how much of it one task sorts at most."""
+    x = _cumulated(df, keys, seq, debit, credit, balance, block)
+    before = Window.partitionBy(*keys, "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    # a balance less the movements up to it stays the same until the next own balance
+    anchor = F.coalesce(F.last(F.col(balance) - F.col("_c"), ignorenulls=True).over(before), "_a", *([opening] if opening else []))
+    x = x.withColumn("expected", anchor + F.col("_c"))
     bad = F.col(balance).isNotNull() & F.col("expected").isNotNull() & (F.abs(F.col(balance) - F.col("expected")) >= TOLERANCE)
-    return x.withColumn("discontinuity", F.coalesce(bad, F.lit(False))).drop("_grp", "_last")
+    return x.withColumn("discontinuity", F.coalesce(bad, F.lit(False))).drop("_blk", "_a", "_c")
 
 
 def repeated_daily_balance(df: DataFrame, keys: Sequence[str], seq: str, day: str, balance: str) -> DataFrame:
@@ -35,13 +51,12 @@ def repeated_daily_balance(df: DataFrame, keys: Sequence[str], seq: str, day: st
     return df.withColumn("exempt", F.coalesce(same, F.lit(False)))
 
 
-def backward_anchor(df: DataFrame, keys: Sequence[str], seq: str, debit: str, credit: str, balance: str) -> DataFrame:
-    """``df`` with ``expected_back``: the balance that the last own balance of the group implies for each row."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    closing = F.last(balance).over(whole)
-    return df.withColumn("expected_back", closing - F.coalesce(F.sum(_net(debit, credit)).over(after), F.lit(0)))
+def backward_anchor(df: DataFrame, keys: Sequence[str], seq: str, debit: str, credit: str, balance: str, block: int = 1_000_000) -> DataFrame:
+    """``df`` with ``expected_back``: the balance that the last row of the group implies for each row."""
+    x = _cumulated(df, keys, seq, debit, credit, balance, block)
+    ends = df.groupBy(*keys).agg(F.max(F.struct(F.col(seq).alias("s"), F.col(balance).alias("b")))["b"].alias("_closing"), F.sum(_net(debit, credit)).alias("_total"))
+    x = x.join(ends, [x[k].eqNullSafe(ends[k]) for k in keys]).drop(*[ends[k] for k in keys])
+    return x.withColumn("expected_back", F.col("_closing") - F.col("_total") + F.col("_c")).drop("_blk", "_a", "_c", "_closing", "_total")
 
 
 def order_and_inversion(df: DataFrame, keys: Sequence[str], seq: str, day: str, debit: str, credit: str, balance: str) -> DataFrame:

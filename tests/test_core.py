@@ -95,8 +95,13 @@ def test_running_balance_against_a_loop(spark):
             carried = own if own is not None else expected
             data.append((acct, seq, d, c, own))
     df = spark.createDataFrame(data, "a int, s int, d int, c int, b int")
-    got = ledger.running_balance_check(df, ["a"], "s", "d", "c", "b")
-    assert {(r.a, r.s): r.discontinuity for r in got.collect()} == want
+    for block in (1, 7, 1000):
+        got = ledger.running_balance_check(df, ["a"], "s", "d", "c", "b", block=block)
+        assert {(r.a, r.s): r.discontinuity for r in got.collect()} == want, block
+        back = {(r.a, r.s): (r.expected_back, r.b) for r in ledger.backward_anchor(df.where("b is not null or s <> 39"), ["a"], "s", "d", "c", "b", block=block).collect()}
+        for a in range(5):
+            last = max(s for k, s in back if k == a)
+            assert back[a, last][0] == back[a, last][1]
 
 
 def test_intraday_reorder(spark):
