@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import written
+
 #: The fields of the consistent table and the kind of each.
 FIELDS = {
     "date": "date", "value_date": "date", "posting_date": "date", "description": "text", "reference_number": "text", "cheque_number": "text",
@@ -75,6 +77,8 @@ def changes(mappings: DataFrame, records: DataFrame) -> DataFrame:
         "feed_id", "file_id", "period_start", "column_index", "source_header", "key", "field", "type", "looks",
         F.row_number().over(Window.partitionBy("file_id", "key").orderBy("column_index")).alias("nth"),
     )
+    # a row per file and column: the records are read once, and what follows is small beside them
+    cols = written(cols)
     files = cols.groupBy("feed_id", "file_id").agg(F.min("period_start").alias("period_start")).where("period_start is not null")
     in_time = Window.partitionBy("feed_id").orderBy("period_start", "file_id")
     # which file a file is compared with, and which one is compared with it
@@ -92,7 +96,7 @@ def changes(mappings: DataFrame, records: DataFrame) -> DataFrame:
         "key", "nth", "field", F.struct("source_header", "type", "looks", "column_index").alias("c"),
     ).select("s.at", "s.side", "key", "nth", "field", "c").where("at is not null")
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}")
-    by_header = sides.groupBy("at", "key", "nth").agg(of("old", "c"), of("new", "c"), F.max("field").alias("field"))
+    by_header = written(sides.groupBy("at", "key", "nth").agg(of("old", "c"), of("new", "c"), F.max("field").alias("field")))
     retyped = (F.col("old.type") != F.col("new.type")) & F.col("old.type").isNotNull() & F.col("new.type").isNotNull()
     stays = F.col("old").isNotNull() & F.col("new").isNotNull()
     left = by_header.where(~stays).select("at", "key", "field", F.when(F.col("old").isNull(), "new").otherwise("old").alias("side"), F.coalesce("old", "new").alias("c"))
