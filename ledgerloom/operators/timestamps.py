@@ -102,12 +102,16 @@ def day_of(df: DataFrame, name: str, order: Column, out: str) -> DataFrame:
     y, m, d = (F.col("_ymd")[i] for i in range(3))
     text = F.concat_ws("-", F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y), F.lpad(_number_or_month(m).cast("string"), 2, "0"), F.lpad(d, 2, "0"))
     serial = F.date_add(F.lit(dt.date(1899, 12, 30)), _int(F.substring(solid, 1, 5)))
-    epoch = F.to_date(F.timestamp_micros(epoch_micros(solid)))
+    epoch = _epoch_day(epoch_micros(solid))
     return df.withColumn(
         out, F.when(solid.rlike(r"^\d{5}(\.|$)"), serial).when(F.length(solid) >= 10, epoch).otherwise(F.try_to_date(text, "yyyy-MM-dd"))
     ).drop("_form", "_ymd")
 
 
+def _epoch_day(micros: Column) -> Column:
+    return F.date_add(F.lit(dt.date(1970, 1, 1)), F.floor(micros / 86_400_000_000).cast("int"))
+
+
 def epoch_micros(a: Column) -> Column:
     """Seconds, milliseconds or microseconds since 1970, by the number of digits, as microseconds."""
     n = a.try_cast("long")
@@ -270,10 +274,16 @@ def normalise(
         ),
     ).when(F.size(here) == 1, here[0]["off"])
     instant = F.coalesce("epoch", F.col("local") - offset.cast("long") * 1_000_000)
-    stamp = F.date_format(F.timestamp_micros(instant), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    date_norm = F.when(F.col("epoch").isNotNull() | F.col("timed"), F.when(F.col("day").isNotNull(), stamp)).otherwise(F.date_format("day", "yyyy-MM-dd"))
+    # by arithmetic, so that no zone of the session plays a part
+    day_us = 86_400_000_000
+    rest = F.pmod(instant, F.lit(day_us))
+    clock_text = F.format_string(
+        "%02d:%02d:%02d.%06d", F.floor(rest / 3_600_000_000), F.floor(rest / 60_000_000) % 60, F.floor(rest / 1_000_000) % 60, rest % 1_000_000
+    )
+    stamp = F.concat(_epoch_day(instant).cast("string"), F.lit("T"), clock_text, F.lit("Z"))
+    date_norm = F.when(F.col("epoch").isNotNull() | F.col("timed"), F.when(F.col("day").isNotNull(), stamp)).otherwise(F.col("day").cast("string"))
     both = F.array(
         F.struct(F.lit("date").alias("field"), date_norm.alias("norm")),
-        F.struct(F.lit("value_date").alias("field"), F.date_format("vday", "yyyy-MM-dd").alias("norm")),
+        F.struct(F.lit("value_date").alias("field"), F.col("vday").cast("string").alias("norm")),
     )
     return got.select(F.col("id").alias(id), F.explode(both).alias("x")).select(id, "x.field", "x.norm").where("norm is not null")
