@@ -352,10 +352,21 @@ class Tagger:
             for i, (a, b) in enumerate(spans):
                 if (key := skip_key(line[a:b])) is not None and g[i, 0] < 0.9999:
                     nodes.setdefault(key, []).append((c, i))
-        nodes = {k: v for k, v in nodes.items() if len(v) > 1}
+        n = len(TYPES) + 1
+
+        def settled(members: list[tuple[int, int]]) -> bool:
+            """Whether words are sure of one and the same type already: messages would only make them surer."""
+            kinds = set()
+            for c, i in members:
+                y = int(gammas[c][i].argmax())
+                if gammas[c][i, y] < 0.99:
+                    return False
+                kinds.add(self.types[y])
+            return len(kinds) == 1
+
+        nodes = {k: v for k, v in nodes.items() if len(v) > 1 and not settled(v)}
         if not nodes or self.model.skip <= 0:
             return gammas
-        n = len(TYPES) + 1
         gain = np.exp(self.model.skip)
         sent: dict[tuple[int, int], np.ndarray] = {}
         for _ in range(3):
