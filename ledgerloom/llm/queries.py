@@ -80,4 +80,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p1_found, p1_labelled, p2_found, p2_restored, p4_found, p6_found, p6_collapsed, p7_found, p7_redacted, p8_packed, p9_mixed, p9_shares, p10_found,
     )
 }
-SQL: dict[str, str] = {}
+_STRIP = r"regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"
+_HARD = r"'[|;/:_\-\x{2010}-\x{2015}]'"
+#: Labels go back and forth between equal letters and equal segments until they stand still.
+_COPIES = (
+    "WITH k AS (SELECT transaction_id AS id, account_key AS a, " + _STRIP.format("transaction_date") + r""" AS d, regexp_replace(regexp_replace(lower(balance), '[\x{2212}\x{2010}-\x{2015}]', '-', 'g'), '[^\p{L}\p{N}.\-]+', '', 'g') AS b,
+  """ + _STRIP.format("description") + " AS k1, array_to_string(list_sort(list_filter(list_transform(CASE WHEN regexp_matches(description, " + _HARD + ") THEN regexp_split_to_array(description, " + _HARD + r""") ELSE regexp_split_to_array(description, ',|\s\.\s') END,
+  lambda x: """ + _STRIP.format("x") + "), lambda x: x <> '')), chr(1)) AS k2 FROM transactions)"
+    + "".join(f", m{i} AS (SELECT *, min({'id' if i == 1 else f'l{i - 1}'}) OVER (PARTITION BY a, d, b, {'k1' if i % 2 else 'k2'}) AS l{i} FROM {'k' if i == 1 else f'm{i - 1}'})" for i in range(1, 8))
+)
+SQL: dict[str, str] = {
+    "p6_found": _COPIES + " SELECT l7 AS first_id, id AS copy_id FROM m7 WHERE l7 <> id",
+    "p6_collapsed": _COPIES + ", n AS (SELECT l7, count(*) AS n FROM m7 GROUP BY 1) SELECT t.*, n AS n_copies FROM transactions t JOIN n ON t.transaction_id = n.l7",
+}
