@@ -173,6 +173,8 @@ def train(smoothing: float = 0.05) -> Classifier:
 
 _LOST_IN_WORD = re.compile(r"[^\W\d_]\?[^\W\d_]")
 _WORD = re.compile(r"[^ \n\t\r]*[^\x00-\x7f][^ \n\t\r]*|[^ \n\t\r]*[^\W\d_]\?[^\W\d_][^ \n\t\r]*")
+#: Question marks where characters were lost: before a word or a number, four and more, or one word of them after another.
+_LOST_RUN = re.compile(r"(?:^|\s)\?(?:[^\W\d_]+(?![^\s.,;:?])|\d)|\?{4,}|(?:^|\s)\?{2,}[.,]?\s+\?{2,}(?=[.,\s]|$)")
 #: Nothing but proper Indic text, ASCII, common punctuation and currency signs.
 _PLAIN = re.compile("[\x20-\x7eऀ-෿“”‘’–—…₹€£‌‍]*")
 
@@ -253,11 +255,13 @@ class Detector:
             return m[0] if out is None else out
 
         out = _WORD.sub(restore, text)
+        if "?" in text and LOST not in chains and _LOST_RUN.search(text):
+            chains[LOST], whole = None, False
         return list(chains), out, whole
 
 
-#: What a record must hold to be looked at: something outside plain text, or a question mark inside a word.
-SUSPICIOUS = r"[^\x00-\x7Fऀ-෿“”‘’–—…₹€£‌‍]|\p{L}\?\p{L}"
+#: What a record must hold to be looked at: something outside plain text, or question marks in odd places.
+SUSPICIOUS = r"[^\x00-\x7Fऀ-෿“”‘’–—…₹€£‌‍]|\p{L}\?\p{L}|(^|\s)\?[\p{L}\d]|\?{4}|(^|\s)\?{2,}[.,]?\s+\?\?"
 
 
 def find_damage(df: DataFrame, id: str, text: str) -> DataFrame:

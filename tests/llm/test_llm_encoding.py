@@ -28,6 +28,10 @@ def test_twice_and_single_byte():
 def test_lost():
     d = Detector()
     assert d.text("a �t� cr�dit�e")[0] == [LOST] and not d.text("a �t�")[2]
+    for lost in ("???? ????? ???? ???.", "the ?key? and a pen", "took ?820 from you", "01.02.23 ?? ???? x", "a ?????? b"):
+        assert d.text(lost)[0] == [LOST], lost
+    for fine in ("Why was I charged???", "Who signed it?? Not me ???", "is it? yes", "What? 5 of them?", "x ? y : z"):
+        assert d.text(fine)[0] == [], fine
     assert d.word("Br?l?")[0] == LOST and d.word("charged???")[0] == CLEAN and d.word("http://x/?a=b")[0] == CLEAN
 
 
