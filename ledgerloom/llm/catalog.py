@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import spread
+
 #: Alias paths of each kind of institution, as words run together.
 KINDS: dict[str, tuple[str, ...]] = {
     "small": ("smallfinancebank", "smallfinancebk", "smallfinbank", "smallfinbk", "sfb", "smallfinance", "laghuvittabank"),
@@ -275,6 +277,9 @@ def map_names(
         F.col(id).cast("long").alias("id"), F.col(name).cast("string").alias("name"), (F.col(hint) if hint else F.lit(None)).cast("string").alias("hint")
     ).where(F.trim(F.regexp_replace("name", r"[\s ]+", " ")) != "")
 
+    # equal names meet in one task, where a name is searched once
+    rows = spread(rows, "name")
+
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Catalogue(entries)
         cache: dict[tuple, int] = {}
