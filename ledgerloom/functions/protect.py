@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import any_script
 from ledgerloom.operators.sentences import pieces
 
 #: What is kept, by precedence.
@@ -116,15 +117,15 @@ def script_segments(text: str) -> list[tuple[str, str]]:
 
 def harmonise(c: Column) -> Column:
     for pattern, word in HARMONISED:
-        c = F.regexp_replace(c, f"(?i){pattern}", word)
+        c = F.regexp_replace(c, f"(?iu){any_script(pattern)}", word)
     return c
 
 
 def clean_legal(c: Column) -> Column:
     """Blanks of a detokeniser taken out around punctuation, brackets and slashes."""
-    c = F.regexp_replace(c, r"\s+([,.;:)\]])", "$1")
-    c = F.regexp_replace(c, r"([(\[])\s+", "$1")
-    return F.regexp_replace(c, r"\s*/\s*", "/")
+    c = F.regexp_replace(c, any_script(r"\s+([,.;:)\]])"), "$1")
+    c = F.regexp_replace(c, any_script(r"([(\[])\s+"), "$1")
+    return F.regexp_replace(c, any_script(r"\s*/\s*"), "/")
 
 
 def apply_rows(df: DataFrame, id: str, text: str, schema: str, f) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
 #: Marker words of languages written in Devanagari.
@@ -30,6 +34,14 @@ FACTS = (
 )
 
 
+def any_script(pattern: str) -> str:
+    """``pattern`` with ``\\b``, ``\\s`` and ``\\d`` (outside of brackets) as Python has them: words, blanks and digits of every
+    script, where signs that join a letter belong to no word. A ``\\b`` at the start stands before, others after a character of a word."""
+    word = r"[\p{L}\p{N}_]"
+    x = re.sub(r"^\\b", lambda _: f"(?<!{word})", pattern)
+    return x.replace(r"\b", f"(?!{word})").replace(r"\s", r"[\t-\r\x1c-\x20\x85\p{Z}]").replace(r"\d", r"\p{Nd}")
+
+
 def ascii_numerals(c: Column) -> Column:
     return F.translate(c, DEVANAGARI_DIGITS, "0123456789")
 
@@ -104,8 +116,16 @@ def xml_safe(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
 
 
+@F.pandas_udf(StringType())
+def nfc(c: pd.Series) -> pd.Series:
+    """Texts in the composed normal form."""
+    return c.str.normalize("NFC")
+
+
 def character_error_rate(source: Column, target: Column) -> Column:
-    return F.levenshtein(source, target) / F.length(source)
+    """Edits per character of ``source``, both composed; without a character 0 or 1."""
+    x, y = [F.when(c.rlike(r"^[\x00-\x7f]*$"), c).otherwise(nfc(c)) for c in (source, target)]
+    return F.when(F.length(x) == 0, F.when(F.length(y) == 0, 0.0).when(y.isNotNull(), 1.0)).otherwise(F.try_divide(F.levenshtein(x, y), F.length(x)))
 
 
 def citations(c: Column) -> Column:

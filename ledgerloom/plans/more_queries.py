@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import identifiers, legacy, protect
+from ledgerloom.functions.text import any_script
 from ledgerloom.operators import statutory
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import table
@@ -153,13 +154,14 @@ def glossary_apply(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bcheque\s*book\b', 'chequebook', 'g'), '(?i)\bpass\s*book\b', 'passbook', 'g'), '(?i)\be-?mail\b', 'email', 'g'), '(?i)\bA/c\b', 'account', 'g'), '(?i)\bRs\.?\s*([0-9])', 'INR \1', 'g')) AS digest FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*') OR text IS NULL""")
 def harmonize(spark: SparkSession, d: str) -> DataFrame:
-    plain = docs(spark, d).where(F.col("text").isNull() | F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return plain.select("doc_id", F.md5(protect.harmonise(F.col("text"))).alias("digest"))
+    """Every document; the SQL has those in ASCII only."""
+    return docs(spark, d).select("doc_id", F.md5(protect.harmonise(F.col("text"))).alias("digest"))
 
 
 @R.add(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\s+([,.;:)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g'), '\s*/\s*', '/', 'g')) AS digest FROM documents WHERE regexp_full_match(text, '[\x20-\x7e\n]*')""")
 def clean_legal_text(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).where(F.col("text").rlike(r"^[\x20-\x7e\n]*$")).select("doc_id", F.md5(protect.clean_legal(F.col("text"))).alias("digest"))
+    """Every document; the SQL has those in printable ASCII only."""
+    return docs(spark, d).select("doc_id", F.md5(protect.clean_legal(F.col("text"))).alias("digest"))
 
 
 _COURTS = ("Supreme Court", "High Court", "Appellate Tribunal", "appellate tribunal", "adjudicating authority")
@@ -331,9 +333,9 @@ def redact_text(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("""SELECT span_id, regexp_replace(regexp_replace(text, '\\bO([0-9])', '0\\1', 'g'), '([0-9])[lI]\\b', '\\11', 'g') AS repaired FROM text_spans WHERE regexp_full_match(text, '[\\x20-\\x7e]*')""")
 def critical_repair(spark: SparkSession, d: str) -> DataFrame:
-    """Letters inside numbers that scanners take for digits."""
-    x = F.regexp_replace(F.regexp_replace("text", r"\bO([0-9])", "0$1"), r"([0-9])[lI]\b", "$11")
-    return table(spark, d, "text_spans").where(F.col("text").rlike(r"^[\x20-\x7e]*$")).select("span_id", x.alias("repaired"))
+    """Letters inside numbers that scanners take for digits, in every span; the SQL has those in printable ASCII only."""
+    x = F.regexp_replace(F.regexp_replace("text", any_script(r"\bO([0-9])"), "0$1"), any_script(r"([0-9])[lI]\b"), "$11")
+    return table(spark, d, "text_spans").select("span_id", x.alias("repaired"))
 
 
 @R.add("""SELECT span_id, floor(bbox.y0 / 60)::BIGINT AS paragraph, dense_rank() OVER (PARTITION BY doc_id, page_number ORDER BY floor(bbox.y0 / 60)) AS nth FROM text_spans WHERE bbox IS NOT NULL""")
