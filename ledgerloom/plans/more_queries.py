@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import identifiers, legacy, protect
+from ledgerloom.functions import dates, identifiers, legacy, protect
 from ledgerloom.functions.text import any_script
 from ledgerloom.operators import statutory
 from ledgerloom.plans.registry import Registry
@@ -25,18 +25,14 @@ _ISO, _DMY = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
 @R.add(f"""SELECT row_id, CAST(CASE WHEN regexp_matches(trim(value_date), '{_ISO}') THEN TRY_CAST(trim(value_date) AS DATE) WHEN regexp_matches(translate(trim(value_date), '.-', '//'), '{_DMY}') THEN
 TRY_CAST(lpad(split_part(translate(trim(value_date), '.-', '//'), '/', 3), 4, '0') || '-' || lpad(split_part(translate(trim(value_date), '.-', '//'), '/', 2), 2, '0') || '-' || lpad(split_part(translate(trim(value_date), '.-', '//'), '/', 1), 2, '0') AS DATE) END AS VARCHAR) AS day FROM statement_rows""")
 def parse_date(spark: SparkSession, d: str) -> DataFrame:
-    """ISO first, then day before month."""
-    x = F.trim("value_date")
-    slashed = F.translate(x, ".-", "//")
-    day = F.when(x.rlike(_ISO), F.try_to_date(x, "yyyy-MM-dd")).when(slashed.rlike(_DMY), F.try_to_date(slashed, "d/M/yyyy"))
-    return table(spark, d, "statement_rows").select("row_id", day.cast("string").alias("day"))
+    """ISO first, then day before month; the SQL knows two of the ten formats."""
+    return table(spark, d, "statement_rows").select("row_id", dates.parse_date("value_date").alias("day"))
 
 
 @R.add(r"""SELECT row_id, CASE WHEN regexp_matches(trim(time), '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]') THEN left(trim(time), 8) WHEN regexp_matches(trim(time), '^([01][0-9]|2[0-3]):[0-5][0-9]$') THEN trim(time) || ':00' END AS time FROM statement_rows""")
 def parse_time(spark: SparkSession, d: str) -> DataFrame:
-    x = F.trim("time")
-    t = F.when(x.rlike("^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"), F.substring(x, 1, 8)).when(x.rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$"), F.concat(x, F.lit(":00")))
-    return table(spark, d, "statement_rows").select("row_id", t.alias("time"))
+    """Times of 24 and 12 hours; the SQL knows only those of 24."""
+    return table(spark, d, "statement_rows").select("row_id", dates.parse_time("time").alias("time"))
 
 
 @R.add("""SELECT row_id, CASE WHEN regexp_matches(trim(reference_number), '^[0-9]{6}$') AND regexp_matches(lower(description), 'chq|cheque|clg') THEN trim(reference_number) END AS cheque, CASE WHEN regexp_matches(trim(reference_number), '^[0-9]{6}$') AND regexp_matches(lower(description), 'chq|cheque|clg') THEN NULL ELSE trim(reference_number) END AS ref FROM statement_rows""")
