@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, identifiers, legacy, protect
 from ledgerloom.functions.text import any_script
-from ledgerloom.operators import statutory
+from ledgerloom.operators import rows, statutory
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import table
 from ledgerloom.sources import files
@@ -106,10 +106,10 @@ def header_memory(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("""WITH p AS (SELECT statement_id, page_number, count(*) AS rows, lag(count(*)) OVER (PARTITION BY statement_id ORDER BY page_number) AS before FROM statement_rows GROUP BY 1, 2) SELECT statement_id, page_number, rows, before IS NOT NULL AS stitched FROM p""")
 def table_stitch(spark: SparkSession, d: str) -> DataFrame:
-    """Tables of one statement go on over page breaks."""
-    p = table(spark, d, "statement_rows").groupBy("statement_id", "page_number").agg(F.count(F.lit(1)).alias("rows"))
-    w = Window.partitionBy("statement_id").orderBy("page_number")
-    return p.select("statement_id", "page_number", "rows", F.lag("rows").over(w).isNotNull().alias("stitched"))
+    """Rows of statements, those that a page break cut in two put together; the SQL counts the rows of pages."""
+    cells = ["date", "value_date", "time", "description", "reference_number", "debit", "credit", "balance"]
+    x = table(spark, d, "statement_rows").select("row_id", "statement_id", "page_number", "row_index", *cells)
+    return rows.stitched_rows(x, "statement_id", "page_number", "row_index", "row_id", cells)
 
 
 @R.add()
