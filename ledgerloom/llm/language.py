@@ -1,13 +1,17 @@
 """The language of each document and of each stretch of a mixed one, with a confidence.
 
 A linear-chain conditional random field labels words: affix, character n-gram and lexicon features give each word a score
-for each language, learned transitions link neighbours, and forward-backward gives each word its marginals. It is trained
-by gradient ascent on code-switched sequences made from the seed texts, the same each time. A chain is one sentence. A
-sentence has the language with the largest sum of marginals over its telling words (numbers, references and names without
-any score of their own tell little), with its share of that sum as confidence; sentences too short to tell are no evidence.
+for each language, learned transitions link neighbours, and forward-backward gives each word its marginals. A chain is a
+whole line; the step across the end of a sentence has transitions of its own, which are learned like those inside a
+sentence. It is trained by gradient ascent on code-switched sequences made from the seed texts, the same each time.
+
+Stretches are read off the decoded labels. A sentence has the language that most of its telling words are decoded as
+(numbers, references and names without any score of their own tell little); its confidence is the mass of their marginals
+as a share of all. Sentences too short to tell are no evidence.
 
 Defined results: null and blank texts, and texts without any telling sentence, get no language. Garbled words are restored
-first, where they can be. Sentences are judged once per batch and remembered; that changes no result.
+first, where they can be. Lines are judged once per batch and remembered; that changes no result. Lines of any length are
+labelled whole, in batches and blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.chains import marginals
 from ledgerloom.llm.encoding import Detector
 from ledgerloom.llm.seeds import LEXICON, SENTENCES
 from ledgerloom.session import spread
@@ -44,7 +49,7 @@ _END = re.compile(
     r"(?<!\bPvt\.)(?<!\bSmt\.)(?<!\bShri\.)(?<!\bPh\.)\s+(?=[^\sa-z0-9₹])|(?<=।)"
 )
 _NUMBER = re.compile(r"\d(?:[\d,./:-]*\d)?")
-_ADDRESS = re.compile(r"\S+@\S+|\bhttps?://\S+|\b(?:sd|c)/[-o]")
+_ADDRESS = re.compile(r"\S+@\S+|[\w.+-]+ ?(?:AT|[\[(]at[\])]) ?[\w-]+(?:(?:\.| ?(?:DOT|[\[(]dot[\])]) ?)[\w-]+)+|\bhttps?://\S+|\b(?:sd|c)/[-o]")
 #: Whether a text can hold garbled words at all.
 _ODD = re.compile("[^\x00-\x7fऀ-෿“”‘’–—…₹€£‌‍]")
 
@@ -69,38 +74,13 @@ def _features(word: str) -> list[int]:
 _LEXICON = {lang: frozenset(w.lower() for w in words.split()) for lang, words in LEXICON.items()}
 
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (B, T, L) and summed pair marginals (L, L) of padded chains with log scores ``emit`` (B, T, L)."""
-    b, t, n = emit.shape
-    e = np.exp(emit - emit.max(axis=2, keepdims=True))
-    a = np.exp(trans)
-    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones((b, t))
-    alpha[:, 0] = np.exp(start) * e[:, 0]
-    scale[:, 0] = alpha[:, 0].sum(axis=1)
-    alpha[:, 0] /= scale[:, :1]
-    for i in range(1, t):
-        x = (alpha[:, i - 1] @ a) * e[:, i]
-        scale[:, i] = x.sum(axis=1)
-        alpha[:, i] = x / scale[:, i : i + 1]
-    live = mask[:, :, None]
-    for i in range(t - 2, -1, -1):
-        x = ((beta[:, i + 1] * e[:, i + 1]) @ a.T) / scale[:, i + 1 : i + 2]
-        beta[:, i] = np.where(live[:, i + 1], x, 1.0)
-    gamma = alpha * beta
-    gamma /= gamma.sum(axis=2, keepdims=True)
-    pairs = np.zeros((n, n))
-    for i in range(1, t):
-        w = (beta[:, i] * e[:, i] / scale[:, i : i + 1]) * live[:, i]
-        pairs += a * (alpha[:, i - 1].T @ w)
-    return gamma, pairs
-
-
 class Model:
-    """Weights of word features, transitions and starts."""
+    """Weights of word features, transitions inside and across sentences, and starts."""
 
     def __init__(self) -> None:
         self.weights = np.zeros((DIMS, len(LANGUAGES)), np.float64)
         self.trans = np.zeros((len(LANGUAGES),) * 2)
+        self.across = np.zeros((len(LANGUAGES),) * 2)
         self.start = np.zeros(len(LANGUAGES))
 
     def score(self, word: str) -> np.ndarray:
@@ -108,73 +88,88 @@ class Model:
         return self.weights[f].sum(axis=0) / np.sqrt(len(f))
 
 
-def _sequences(rng: np.random.Generator, count: int) -> list[tuple[list[str], list[int]]]:
-    """Code-switched training chains: one to three stretches, each a piece of a seed sentence."""
+def _sequences(rng: np.random.Generator, count: int) -> list[tuple[list[str], list[int], list[bool]]]:
+    """Code-switched training chains of one to four stretches, each a piece of a seed sentence: (words, languages, whether a
+    word begins a sentence). Most stretches begin a sentence of their own; some switches happen inside one. Foreign names
+    occur in any language."""
     pool = [[_TOKEN.findall(s) for line in SENTENCES[lang].split("\n") for s in _END.split(line)] for lang in LANGUAGES]
     pool = [[s for s in p if len(s) > 1] for p in pool]
     out = []
     for _ in range(count):
         words: list[str] = []
         labels: list[int] = []
-        for _ in range(rng.integers(1, 3)):
-            k = int(rng.integers(len(LANGUAGES)))
+        begins: list[bool] = []
+        k = int(rng.integers(len(LANGUAGES)))
+        for part in range(int(rng.integers(1, 5))):
+            if part and rng.random() < 0.4:
+                k = int(rng.integers(len(LANGUAGES)))
             s = pool[k][int(rng.integers(len(pool[k])))]
-            cut = int(rng.integers(0, max(1, len(s) - 3)))
-            s = s[cut : cut + int(rng.integers(3, 14))]
+            if rng.random() < 0.5:
+                cut = int(rng.integers(0, max(1, len(s) - 3)))
+                s = s[cut : cut + int(rng.integers(3, 14))]
+            if rng.random() < 0.3:
+                name = "".join(rng.choice(list("bdfgklmnprstv")) + rng.choice(list("aeiou")) for _ in range(int(rng.integers(2, 5)))).title()
+                at = int(rng.integers(len(s) + 1))
+                s = [*s[:at], name, *s[at:]]
+            begins += [part > 0 and rng.random() < 0.85] + [False] * (len(s) - 1)
             words += s
             labels += [k] * len(s)
-        out.append((words, labels))
+        out.append((words, labels, begins))
     return out
 
 
 @lru_cache(maxsize=1)
 def train(count: int = 1600, epochs: int = 5, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Gradient ascent on the conditional likelihood of ``count`` chains; the same each time."""
+    """Gradient ascent on the conditional likelihood of ``count`` chains, features and transitions at one rate; the same each
+    time."""
     rng = np.random.default_rng(seed)
     data = _sequences(rng, count)
     model, n = Model(), len(LANGUAGES)
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in data for w in words))}
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words, _, _ in data for w in words))}
     feats = [np.array(_features(w)) for w in vocabulary]
-    norm = np.array([1 / np.sqrt(len(f)) for f in feats])
-    flat, owner = np.concatenate(feats), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    history = np.full_like(model.weights, 1e-2)
-    chains = [(np.array([vocabulary[w] for w in words]), np.array(labels)) for words, labels in data]
+    sizes = np.array([len(f) for f in feats])
+    norm = 1 / np.sqrt(sizes)
+    flat, owner, begin = np.concatenate(feats), np.repeat(np.arange(len(feats)), sizes), np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    chains = [(np.array([vocabulary[w] for w in words]), np.array(labels), np.array(begins)) for words, labels, begins in data]
+    learned = {"weights": model.weights, "trans": model.trans, "across": model.across, "start": model.start}
+    history = {k: np.full_like(v, 1e-2) for k, v in learned.items()}
     for _ in range(epochs):
         order = rng.permutation(len(chains))
         for at in range(0, len(order), 100):
             batch = [chains[i] for i in order[at : at + 100]]
-            t = max(len(c[0]) for c in batch)
-            ids, gold, mask = np.zeros((len(batch), t), int), np.zeros((len(batch), t), int), np.zeros((len(batch), t), bool)
-            for i, (w, y) in enumerate(batch):
-                ids[i, : len(w)], gold[i, : len(w)], mask[i, : len(w)] = w, y, True
-            scores = np.zeros((len(vocabulary), n))
-            np.add.at(scores, owner, model.weights[flat])
-            scores *= norm[:, None]
-            gamma, pairs = forward_backward(scores[ids] * mask[:, :, None], mask, model.trans, model.start)
-            diff = (np.eye(n)[gold] - gamma) * mask[:, :, None]
+            ids, gold, cross = (np.concatenate([c[i] for c in batch]) for i in range(3))
+            lengths = np.array([len(c[0]) for c in batch])
+            scores = np.add.reduceat(model.weights[flat], begin, axis=0) * norm[:, None]
+            pairs = [np.zeros((n, n)), np.zeros((n, n))]
+            gamma = marginals(scores[ids], lengths, model.trans, model.start, model.across, cross, pairs)
+            diff = np.eye(n)[gold] - gamma
             by_word = np.zeros((len(vocabulary), n))
-            np.add.at(by_word, ids.ravel(), diff.reshape(-1, n))
-            grad = np.zeros_like(model.weights)
-            np.add.at(grad, flat, (by_word * norm[:, None])[owner])
-            grad -= decay * model.weights * len(batch)
-            history += grad**2
-            model.weights += rate * grad / np.sqrt(history)
-            seen = np.zeros((n, n))
-            both = mask[:, 1:]
-            np.add.at(seen, (gold[:, :-1][both], gold[:, 1:][both]), 1)
-            model.trans += 0.02 * (seen - pairs) / len(batch)
-            model.start += 0.02 * (np.eye(n)[gold[:, 0]] - gamma[:, 0]).mean(axis=0)
+            np.add.at(by_word, ids, diff)
+            by_feature = (by_word * norm[:, None])[owner]
+            grad = {"weights": np.stack([np.bincount(flat, by_feature[:, j], DIMS) for j in range(n)], axis=1) - decay * len(batch) * model.weights}
+            firsts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+            inner = np.ones(len(ids), bool)
+            inner[firsts] = False
+            for k, name in enumerate(("trans", "across")):
+                seen = np.zeros((n, n))
+                to = np.flatnonzero(inner & (cross == bool(k)))
+                np.add.at(seen, (gold[to - 1], gold[to]), 1)
+                grad[name] = seen - pairs[k] - decay * len(batch) * learned[name]
+            grad["start"] = diff[firsts].sum(axis=0)
+            for k, g in grad.items():
+                history[k] += g**2
+                learned[k] += rate * g / np.sqrt(history[k])
     return model
 
 
 class Labeller:
-    """Sentences to (language, confidence), a batch at a time, remembered."""
+    """Lines to their sentences with (language, confidence), a batch at a time, remembered."""
 
     def __init__(self, model: Model, keep: int = 300_000) -> None:
         self.model, self.keep = model, keep
         self.words: dict[str, int] = {}
         self.scores = np.zeros((1024, len(LANGUAGES)))
-        self.known: dict[str, tuple[str | None, float, bool]] = {}
+        self.known: dict[str, list[tuple[str, str, float, bool, int]]] = {}
 
     def _word(self, w: str) -> int:
         i = self.words.get(w)
@@ -185,55 +180,82 @@ class Labeller:
             self.scores[i] = self.model.score(w)
         return i
 
-    def learn(self, sentences: list[str]) -> None:
-        """Judges sentences not known yet."""
+    def chains(self, lines: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(marginals, how much each word tells, number of its sentence) of all words of ``lines``, each a list of sentences,
+        each a list of words; a word tells as much as its own scores spread."""
+        sizes = np.array([len(s) for line in lines for s in line], np.int64)
+        lengths = np.array([sum(map(len, line)) for line in lines], np.int64)
+        ids = np.array([self._word(w) for line in lines for s in line for w in s], np.int64)
+        emit = self.scores[ids]
+        sentence = np.repeat(np.arange(len(sizes)), sizes)
+        cross = np.zeros(len(emit), bool)
+        cross[1:] = sentence[1:] != sentence[:-1]
+        gamma = marginals(emit, lengths, self.model.trans, self.model.start, self.model.across, cross)
+        order = np.sort(emit, axis=1)
+        return gamma, np.minimum(order[:, -1] - order[:, -2], 2.0), sentence
+
+    def learn(self, lines: list[str]) -> None:
+        """Judges lines not known yet."""
         if len(self.known) > self.keep:
             self.known.clear()
         if len(self.words) > self.keep:
             self.words.clear()
-        ids = []
-        todo = []
-        for s in sentences:
-            if s in self.known:
-                continue
-            self.known[s] = (None, 0.0, False)
-            words = _TOKEN.findall(s)
-            if words:
-                ids.append([self._word(w) for w in words])
-                todo.append(s)
-        order = sorted(range(len(todo)), key=lambda i: len(ids[i]))
-        for at in range(0, len(order), 512):
-            part = order[at : at + 512]
-            t = len(ids[part[-1]])
-            grid, mask = np.zeros((len(part), t), int), np.zeros((len(part), t), bool)
-            for r, i in enumerate(part):
-                grid[r, : len(ids[i])], mask[r, : len(ids[i])] = ids[i], True
-            emit = self.scores[grid] * mask[:, :, None]
-            gamma, _ = forward_backward(emit, mask, self.model.trans, self.model.start)
-            # a word tells as much as its own scores spread
-            tells = np.minimum(emit.max(axis=2) - np.sort(emit, axis=2)[:, :, -2], 2.0) * mask
-            total = (gamma * tells[:, :, None]).sum(axis=1)
-            best, mass = total.argmax(axis=1), total.sum(axis=1)
-            telling = (tells > 0.5).sum(axis=1)
-            for r, i in enumerate(part):
-                if telling[r] >= 2 and mass[r] > 0:
-                    self.known[todo[i]] = (LANGUAGES[best[r]], float(total[r, best[r]] / mass[r]), whole_sentence(todo[i]))
+        todo = [x for x in dict.fromkeys(lines) if x not in self.known]
+        cut = [[s for s in _END.split(x)] for x in todo]
+        words = [[_TOKEN.findall(s) for s in c] for c in cut]
+        got = self.chains(words) if any(w for line in words for w in line) else None
+        at = 0
+        count = sum(map(len, cut))
+        if got is not None:
+            gamma, tells, sentence = got
+            best = gamma.argmax(axis=1)
+            decoded, mass = np.zeros((count, len(LANGUAGES))), np.zeros((count, len(LANGUAGES)))
+            np.add.at(decoded, (sentence, best), gamma[np.arange(len(best)), best] * tells)
+            np.add.at(mass, sentence, gamma * tells[:, None])
+            telling = np.bincount(sentence, tells > 0.5, count)
+            total, top = mass.sum(axis=1), decoded.argmax(axis=1)
+        for x, sentences, found in zip(todo, cut, words):
+            out = []
+            for s, w in zip(sentences, found):
+                if w and telling[at] >= 2 and total[at] > 0:
+                    out.append((s, LANGUAGES[top[at]], float(mass[at, top[at]] / total[at]), whole_sentence(w), len(s)))
+                at += 1
+            self.known[x] = out
 
     def lines(self, texts: list[str]) -> list[list[list[tuple[str, str, float, bool, int]]]]:
         """For each text, for each line, its telling sentences as (sentence, language, confidence, whole, letters)."""
-        plain = [_NUMBER.sub("0", _ADDRESS.sub(" ", t) if "@" in t or "/" in t else t) for t in texts]
-        cut = [[_END.split(line) if line.strip() else [] for line in t.split("\n")] for t in plain]
-        self.learn([s for t in cut for line in t for s in line])
-        got = []
-        for t in cut:
-            got.append([[(s, *self.known[s], len(s)) for s in line if self.known.get(s, (None,))[0]] for line in t])
-        return got
-
-
-def whole_sentence(s: str) -> bool:
-    """Whether ``s`` is more than names, signs and references: three words or more, two of them of some length and without a
-    capital."""
-    words = _TOKEN.findall(s)
+        cut = [_NUMBER.sub("0", _ADDRESS.sub(" ", t) if "@" in t or "/" in t or "AT" in t or "(at)" in t or "[at]" in t else t).split("\n") for t in texts]
+        self.learn([line for t in cut for line in t if line.strip()])
+        return [[self.known[line] if line.strip() else [] for line in t] for t in cut]
+
+    def segments(self, line: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, language, confidence) of each stretch of ``line`` whose words are decoded as one language, however it
+        is cut into sentences; words that tell nothing go with those before them."""
+        spans, words = [], []
+        hidden = _ADDRESS.sub(lambda m: " " * len(m[0]), line)
+        at = 0
+        for cut in [*(m.span() for m in _END.finditer(hidden)), (len(line), len(line))]:
+            found = list(_TOKEN.finditer(hidden, at, cut[0]))
+            spans += [m.span() for m in found]
+            words.append([m[0] for m in found])
+            at = cut[1]
+        if not spans:
+            return []
+        gamma, tells, _ = self.chains([words])
+        best = gamma.argmax(axis=1)
+        out: list[list] = []
+        for (a, b), k, g, t in zip(spans, best, gamma, tells):
+            if out and (out[-1][2] == k or t <= 0.5):
+                out[-1][1] = b
+                out[-1][3] += [g[out[-1][2]]] * bool(t > 0.5)
+            else:
+                out.append([a, b, k, [g[k]]])
+        return [(a, b, LANGUAGES[k], float(np.mean(g))) for a, b, k, g in out]
+
+
+def whole_sentence(words: list[str]) -> bool:
+    """Whether ``words`` are more than names, signs and references: three words or more, two of them of some length and
+    without a capital."""
     return len(words) >= 3 and sum(len(w) > (2 if w[0] < "ऀ" else 1) and not w[0].isupper() for w in words) >= 2
 
 
@@ -263,7 +285,24 @@ def label_texts(df: DataFrame, id: str, text: str, label: str, segments: bool =
     return rows.mapInPandas(work, "id long, line_no int, lang string, confidence double, label_code string")
 
 
-def decide(lines: list[list[tuple[str, str, float, bool, int]]], segments: bool = True, least: float = 0.55) -> list[tuple[int, str, float]]:
+def label_segments(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, line_no, start, end, lang, confidence): every stretch of each line, in code points, with its language."""
+    model = train()
+    rows = spread(df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.trim("text") != "")), "id")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(model)
+        for f in frames:
+            for i, t in zip(f["id"], f["text"]):
+                if len(labeller.words) > labeller.keep:
+                    labeller.words.clear()
+                out = [(i, n, *x) for n, line in enumerate(t.split("\n")) for x in labeller.segments(line)]
+                yield pd.DataFrame(out, columns=["id", "line_no", "start", "end", "lang", "confidence"])
+
+    return rows.mapInPandas(work, "id long, line_no int, start int, end int, lang string, confidence double")
+
+
+def decide(lines: list[list[tuple[str, str, float, bool, int]]], segments: bool = True, least: float = 0.7) -> list[tuple[int, str, float]]:
     """(line_no, language, confidence) of a text, from its telling sentences by line. ``least``: confidence from which a
     whole sentence shows that its language is there."""
     mass: dict[str, float] = {}

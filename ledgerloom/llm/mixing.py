@@ -12,7 +12,7 @@ left out of the sum (their shares are reported as 0). Records of one id share on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.tokens import VOCABULARY, token_sizes
@@ -29,38 +29,34 @@ def _shift(level: int) -> int:
     return BITS * (LEVELS - 1 - level)
 
 
-def _sums(pool: DataFrame, source: str, level: int) -> dict[str, dict[int, tuple[int, int]]]:
-    """(tokens, records) by source and hash bucket of ``level``; at most 2 ** BITS rows a source."""
-    sums: dict[str, dict[int, tuple[int, int]]] = {}
-    for r in pool.groupBy(source, F.shiftright("key", _shift(level)).alias("b")).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("k")).collect():
-        sums.setdefault(r[source], {})[r.b] = (r.n, r.k)
-    return sums
-
-
-def _thresholds(pool: DataFrame, source: str, sums: dict, budget: dict[str, float]) -> dict[str, tuple[int, float]]:
-    """(key, budget left) per source: the records below the key use up the budget as far as whole records can."""
-    left, edge, inside = dict(budget), dict.fromkeys(budget, 0), dict.fromkeys(budget)
-    active = set(budget)
+def _thresholds(pool: DataFrame, source: str, budget: dict[str, float]) -> dict[str, tuple[int, float]]:
+    """(key, budget left) per source: the records below the key use up the budget as far as whole records can. Sums of
+    buckets are cumulated and cut on the executors; the driver gets one row per source and level."""
+    spark = pool.sparkSession
+    left, edge, inside, active = dict(budget), dict.fromkeys(budget, END), dict.fromkeys(budget), set(budget)
+    upto = Window.partitionBy(source).orderBy("b")
     for level in range(LEVELS):
+        bounds = spark.createDataFrame([(s, left[s], inside[s]) for s in active], f"`{source}` string, budget double, bucket long")
+        part = pool.join(F.broadcast(bounds), source)
         if level:
-            table = pool.sparkSession.createDataFrame([(s, inside[s]) for s in active], f"`{source}` string, bucket long")
-            part = pool.withColumn("bucket", F.shiftright("key", _shift(level - 1))).join(F.broadcast(table), [source, "bucket"])
-            sums = _sums(part, source, level)
-        ended = set()
-        for s in active:
-            for b in sorted(sums.get(s, {})):
-                n, k = sums[s][b]
-                if n > left[s]:
-                    inside[s], edge[s] = b, b << _shift(level)
-                    if k == 1:
-                        ended.add(s)
-                    break
-                left[s] -= n
-                edge[s] = (b + 1) << _shift(level)
-            else:
-                ended.add(s)
-                edge[s] = max(edge[s], inside[s] + 1 << _shift(level - 1)) if level else END
-        active -= ended
+            part = part.where(F.shiftright("key", _shift(level - 1)) == F.col("bucket"))
+        sums = part.groupBy(source, "budget", F.shiftright("key", _shift(level)).alias("b")).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("k"))
+        sums = sums.withColumn("upto", F.sum("n").over(upto))
+        ends = sums.groupBy(source).agg(
+            F.coalesce(F.max(F.when(F.col("upto") <= F.col("budget"), F.col("upto"))), F.lit(0)).alias("used"), F.min(F.when(F.col("upto") > F.col("budget"), F.struct("b", "k"))).alias("cut")
+        )
+        found = {r[source]: r for r in ends.collect()}
+        for s in list(active):
+            r = found.get(s)
+            if r is None or r.cut is None:
+                left[s] -= r.used if r else 0
+                edge[s] = inside[s] + 1 << _shift(level - 1) if level else END
+                active.discard(s)
+                continue
+            left[s] -= r.used
+            inside[s], edge[s] = r.cut.b, r.cut.b << _shift(level)
+            if r.cut.k == 1:
+                active.discard(s)
         if not active:
             break
     return {s: (edge[s], left[s]) for s in budget}
@@ -82,8 +78,7 @@ def mix(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "te
     key = F.shiftrightunsigned(F.xxhash64(id), 64 - BITS * LEVELS)
     sized = written(token_sizes(rows, text, [id, source], vocabulary).where("tokens > 0").withColumn("key", key))
 
-    first = _sums(sized, source, 0)
-    total = {s: sum(n for n, _ in b.values()) for s, b in first.items()}
+    total = {r[source]: r.n for r in sized.groupBy(source).agg(F.sum("tokens").alias("n")).collect()}
     weight = sum(wanted[s][0] for s in total) or 1.0
     whole = min((wanted[s][1] * n * weight / wanted[s][0] for s, n in total.items()), default=0.0)
     base, left = {}, {}
@@ -93,7 +88,7 @@ def mix(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "te
         left[s] = max(0.0, budget - base[s] * n) if base[s] < wanted[s][1] else 0.0
     # (source, lowest key, key that ends the range, smallest and largest record): the records used once more
     ranges: list[tuple[str, int, int, int, int]] = []
-    low, least, most, sums = dict.fromkeys(total, 0), dict.fromkeys(total, 1), dict.fromkeys(total, 1 << 62), first
+    low, least, most = dict.fromkeys(total, 0), dict.fromkeys(total, 1), dict.fromkeys(total, 1 << 62)
     used_up: set[str] = set()
     for step in range(passes):
         active = {s: left[s] for s in total if left[s] >= least[s]}
@@ -106,8 +101,7 @@ def mix(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "te
                 most[s] = max(least[s], int(left[s] if s in used_up else left[s] / 2))
             bounds = spark.createDataFrame([(s, low[s], least[s], most[s]) for s in active], f"`{source}` string, lowest long, least long, most long")
             pool = sized.join(F.broadcast(bounds), source).where("key >= lowest and tokens between least and most").drop("lowest", "least", "most")
-            sums = _sums(pool, source, 0)
-        for s, (edge, rest) in _thresholds(pool, source, sums, active).items():
+        for s, (edge, rest) in _thresholds(pool, source, active).items():
             ranges.append((s, low[s], edge, least[s], most[s]))
             left[s] = rest
             if edge == END:

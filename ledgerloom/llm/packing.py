@@ -3,11 +3,14 @@
 Planning works on a histogram of lengths: best fit over counts, longest first, so its cost depends on the capacity and not on
 the number of texts. The plan gives each length its slots (ranges of ranks and of containers), and each text takes the slot
 of its rank among the texts of its length. A text is split only if it exceeds the capacity: into full containers and one
-rest, which is planned like any other length.
+rest, which is planned like any other length. Pieces that fill a container take one of their own, without rank or join.
+
+Nothing is joined on a length alone: ranks are counted within (length, salt), with as many salts as the length has texts to
+share out, and the plan, whose size depends on the capacities only, goes to every task.
 
 Defined results: null, blank-token and empty texts have no pieces. Capacities that are null or below 1 are left out. Texts
 of equal length are ranked by a salt of their id, then by id; repeated ids are pieces of their own. Every piece is placed
-exactly once.
+exactly once. Container ids are unique within a capacity, but not dense.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.tokens import VOCABULARY, token_sizes
 from ledgerloom.session import written
 
-#: Parts that the texts of one length are ranked in, so that a length that many share is no single task.
-SALTS = 64
+#: How many texts of one length are ranked together: a length has a salt for each so many texts it holds.
+RANKED = 200_000
 
 
 @dataclass
@@ -107,37 +110,46 @@ def pack(docs: DataFrame, specs: DataFrame, id: str = "doc_id", text: str = "tex
     if not wanted:
         return sized.select(F.lit(None).cast(kind).alias(spec), F.lit(0).cast("long").alias("container_id"), F.col(id), F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start_token"), "tokens", F.lit(0).cast("long").alias("container_room")).withColumnRenamed("tokens", "piece_tokens").limit(0)
     caps = F.array(*[F.struct(F.lit(s).cast(kind).alias("spec"), F.lit(c).cast("long").alias("cap")) for s, c in sorted(wanted.items())])
-    last = F.floor((F.col("tokens") - 1) / F.col("c.cap")).cast("int")
-    pieces = sized.select(F.col(id).alias("id"), "tokens", F.explode(caps).alias("c")).select(
-        "id", "tokens", "c.spec", "c.cap", F.explode(F.sequence(F.lit(0), last)).alias("piece_no")
+    # a text has one rest for each capacity; what comes before it are full containers
+    rests = sized.select(F.col(id).alias("id"), "tokens", F.explode(caps).alias("c")).select(
+        "id", "c.spec", "c.cap", F.floor((F.col("tokens") - 1) / F.col("c.cap")).cast("int").alias("last"), ((F.col("tokens") - 1) % F.col("c.cap") + 1).alias("size")
     )
-    pieces = pieces.withColumn("start", F.col("piece_no") * F.col("cap")).withColumn("size", F.least("cap", F.col("tokens") - F.col("start")))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).select("spec", "id", "piece_no", "start", "size", "salt")
-    # at most one row per capacity, length and salt, however many texts there are
-    parts = written(pieces.groupBy("spec", "size", "salt").count())
-    before = Window.partitionBy("spec", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    open_rests = rests.where("size < cap")
     histogram: dict = {s: {} for s in wanted}
-    for r in parts.groupBy("spec", "size").agg(F.sum("count").alias("n")).collect():
-        histogram[r.spec][r["size"]] = r.n
-    slots: dict[tuple, list] = {}
+    for r in open_rests.groupBy("spec", "size").count().collect():
+        histogram[r.spec][r["size"]] = r["count"]
+    rows, opened = [], {}
     for s, c in wanted.items():
+        slots: dict[int, list] = {}
+        opened[s] = 0
         for g in plan(histogram[s], c):
+            opened[s] = max(opened[s], g.first + g.count)
             for length, per, rank in g.items:
-                slots.setdefault((s, length), []).append((rank, rank + per * g.count, per, g.first, g.room))
-    rows = [(s, length, sorted(x)) for (s, length), x in slots.items()]
-    schema = f"spec {kind}, size long, slots array<struct<lo:long,hi:long,per:long,first:long,room:long>>"
-    planned = spark.createDataFrame(rows, schema)
-    ranked = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("spec", "size", "salt").orderBy("id", "piece_no")) - 1)
+                slots.setdefault(length, []).append((rank, rank + per * g.count, per, g.first, g.room))
+        rows += [(s, length, -(-histogram[s][length] // RANKED), sorted(x)) for length, x in slots.items()]
+    schema = f"spec {kind}, size long, salts long, slots array<struct<lo:long,hi:long,per:long,first:long,room:long>>"
+    # at most one row per capacity and length, however many texts there are
+    planned = F.broadcast(spark.createDataFrame(rows, schema))
+    salted = open_rests.join(planned, ["spec", "size"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    own = Window.partitionBy("spec", "size", "salt")
+    before = Window.partitionBy("spec", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy("spec", "size", "salt").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    ranked = salted.drop("salts", "slots").withColumn("nth", F.row_number().over(own.orderBy("id")) - 1)
     placed = ranked.join(offsets, ["spec", "size", "salt"]).withColumn("rank", F.col("nth") + F.col("offset")).join(planned, ["spec", "size"])
     slot = F.filter("slots", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))[0]
-    placed = placed.select("spec", "id", "piece_no", "start", "size", "rank", slot.alias("slot"))
-    return placed.select(
+    placed = placed.select("spec", "id", "last", "cap", "size", "rank", slot.alias("slot")).select(
+        "spec", (F.col("slot.first") + F.floor((F.col("rank") - F.col("slot.lo")) / F.col("slot.per"))).cast("long").alias("container"), "id", F.col("last").alias("piece"), "cap", "size", F.col("slot.room").alias("room")
+    )
+    # full pieces are numbered where they lie, after the containers of the plan
+    after = F.create_map(*[F.lit(x).cast(t) for s, n in opened.items() for x, t in ((s, kind), (n, "long"))])
+    full = rests.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last")))).where("piece < last or size = cap")
+    full = full.select("spec", (after[F.col("spec")] + F.monotonically_increasing_id()).alias("container"), "id", "piece", "cap", F.col("cap").alias("size"), F.lit(0).cast("long").alias("room"))
+    return placed.unionByName(full).select(
         F.col("spec").alias(spec),
-        (F.col("slot.first") + F.floor((F.col("rank") - F.col("slot.lo")) / F.col("slot.per"))).cast("long").alias("container_id"),
+        F.col("container").alias("container_id"),
         F.col("id").alias(id),
-        "piece_no",
-        F.col("start").cast("long").alias("start_token"),
+        F.col("piece").alias("piece_no"),
+        (F.col("piece") * F.col("cap")).cast("long").alias("start_token"),
         F.col("size").cast("long").alias("piece_tokens"),
-        F.col("slot.room").alias("container_room"),
+        F.col("room").alias("container_room"),
     )

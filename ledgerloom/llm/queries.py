@@ -18,6 +18,11 @@ def p1_labelled(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(sources.withColumn("record_kind", F.lit("translation"))).withColumnRenamed("id", "record_id")
 
 
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every line of every document, as decoded."""
+    return language.label_segments(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     wrong = F.col("label_code").isNull() | (F.col("label_code") != F.col("lang"))
     return p1_labelled(spark, d).where((F.col("line_no") >= 0) | wrong).select("record_kind", "record_id", "line_no", "lang")
@@ -77,7 +82,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_labelled, p2_found, p2_restored, p4_found, p6_found, p6_collapsed, p7_found, p7_redacted, p8_packed, p9_mixed, p9_shares, p10_found,
+        p1_found, p1_labelled, p1_segments, p2_found, p2_restored, p4_found, p6_found, p6_collapsed, p7_found, p7_redacted, p8_packed, p9_mixed, p9_shares, p10_found,
     )
 }
 _STRIP = r"regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"

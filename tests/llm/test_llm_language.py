@@ -1,26 +1,10 @@
-"""p1: forward-backward against enumeration, held-out accuracy, mixed lines, labels, edge cases."""
-
-import itertools
+"""p1: held-out accuracy, switches inside a sentence, what transitions do, mixed lines, labels, edge cases."""
 
 import numpy as np
 import pytest
 
 from ledgerloom.llm import language
-from ledgerloom.llm.language import Labeller, decide, forward_backward, label_code, label_texts, train
-
-
-def test_forward_backward_against_enumeration():
-    rng = np.random.default_rng(0)
-    n, t = 3, 4
-    emit, trans, start = rng.normal(size=(1, t, n)), rng.normal(size=(n, n)), rng.normal(size=n)
-    want, total = np.zeros((t, n)), 0.0
-    for path in itertools.product(range(n), repeat=t):
-        p = np.exp(start[path[0]] + sum(emit[0, i, y] for i, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])))
-        total += p
-        for i, y in enumerate(path):
-            want[i, y] += p
-    gamma, pairs = forward_backward(emit, np.ones((1, t), bool), trans, start)
-    assert np.allclose(gamma[0], want / total) and np.isclose(pairs.sum(), t - 1)
+from ledgerloom.llm.language import Labeller, decide, label_code, label_segments, label_texts, train
 
 
 @pytest.mark.parametrize("label,code", [("en_GB", "en"), ("हिन्दी", "hi"), ("fra", "fr"), ("German", "de"), ("hi-IN", "hi"), ("und", None), (" ", None), (None, None), ("n/a", None), ("xx", None)])
@@ -46,11 +30,37 @@ def test_held_out_sentences():
 
 def test_mixed_lines_and_names():
     lab = Labeller(train())
-    got = decide(lab.lines([f"{HELD_OUT['hi']} We will fix it soon.\n\n{HELD_OUT['fr']}\nNimbus Wires (India) 123"])[0])
+    got = decide(lab.lines([f"{HELD_OUT['hi']} They will mend the roof soon.\n\n{HELD_OUT['fr']}\nOrlan Pipes (India) 123"])[0])
     assert [(n, x) for n, x, _ in got] == [(0, "hi"), (0, "en"), (2, "fr")] or sorted((n, x) for n, x, _ in got) == [(0, "en"), (0, "hi"), (2, "fr")]
     assert [x[:2] for x in decide(lab.lines([HELD_OUT["de"] + "\nZürich–Genève £ 40 ½"])[0])] == [(-1, "de")]
 
 
+def test_switch_inside_a_sentence():
+    lab = Labeller(train())
+    line = "Please tell my brother that kal subah hum log bazar nahi ja sakte hain"
+    got = [(line[a:b], x) for a, b, x, _ in lab.segments(line)]
+    assert [x for _, x in got] == ["en", "hi"] and got[0][0].startswith("Please tell my brother") and got[1][0].endswith("bazar nahi ja sakte hain")
+    # one line, several sentences, a chain that switches between them
+    line = f"{HELD_OUT['fr']} {HELD_OUT['en']} {HELD_OUT['mr']}"
+    assert [x for _, _, x, _ in lab.segments(line)] == ["fr", "en", "mr"]
+
+
+def test_transitions_count():
+    """A word that could be of two languages goes with its neighbours, by the learned transitions."""
+    model = train()
+    assert all(model.trans[i, i] == model.trans[i].max() for i in range(len(language.LANGUAGES)))
+    assert (np.diag(model.trans) - model.trans.mean(axis=1) > np.diag(model.across) - model.across.mean(axis=1)).all()
+    lab = Labeller(model)
+    gamma, _, _ = lab.chains([[["plus", "tard", "ils", "sont", "venus"]], [["a", "plus", "for", "all", "of", "us"]]])
+    assert language.LANGUAGES[gamma[0].argmax()] == "fr" and language.LANGUAGES[gamma[6].argmax()] == "en"
+
+
+def test_segments_query(spark):
+    rows = [(1, None, 0), (2, " ", 0), (3, HELD_OUT["en"] + "\n" + HELD_OUT["de"], 0), (None, HELD_OUT["en"], 0), (4, "12 34", 0)]
+    got = sorted((r.id, r.line_no, r.lang) for r in label_segments(spark.createDataFrame(rows, "doc_id long, text string, lang int")).collect())
+    assert got == [(3, 0, "en"), (3, 1, "de")]
+
+
 def test_edge_cases(spark):
     long = HELD_OUT["en"] + " "
     rows = [(1, None, None, 0), (2, "  ", "en", 0), (3, "", None, 0), (4, long * 3000, "hi", 0), (4, long * 3000, "hi", 0), (None, long, None, 0), (5, "12345", None, 0), (6, "à¤…à¤§à¤¿à¤•à¤¾à¤°à¥€ à¤¨à¥‡ à¤•à¤¹à¤¾ à¤•à¤¿ à¤•à¤¾à¤—à¤œà¤¼ à¤¹à¥ˆà¤‚", None, 0)]
