@@ -2,7 +2,9 @@
 
 Cells are parsed to a local wall-clock time with built-in expressions. Local times are joined to zone-offset intervals
 (each interval of a zone exploded to the local years it touches, so that the join is an equi-join on zone and year): two
-matching intervals mean that the time occurs twice, none that it never occurs, one gives the offset.
+matching intervals mean that the time occurs twice, none that it never occurs, one gives the offset. Every year has its
+intervals: before the first year of the table each zone has one offset only, and after the last change of rules the calendar
+repeats itself every 400 years, so later years are looked up in the first 400 of them.
 
 Defined results: null, blank and placeholder cells, impossible days and impossible times give no value. A wall-clock time
 without any known zone, or one that its zone has twice or never, gives none either. Two-digit years are 20xx, missing
@@ -20,6 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import written
+
+#: Years that intervals are listed for. No zone of the database changes its offset before the first; after the last year
+#: less 400 all rules are yearly ones, and a span of 400 years is a whole number of weeks.
+FIRST_YEAR, LAST_YEAR = 1800, 2499
+CYCLE_YEARS, CYCLE_SECONDS = 400, 146_097 * 86_400
 #: Month names, English and Hindi, by their first three letters or in full.
 MONTHS: dict[str, int] = {
     m: i
@@ -167,27 +175,39 @@ def _intervals(name: str, first: int, last: int) -> list[tuple[int, int, int, st
     return out
 
 
-def zone_intervals(zones: DataFrame, column: str, first_year: int = 1990, last_year: int = 2060) -> DataFrame:
+def zone_intervals(zones: DataFrame, column: str) -> DataFrame:
     """(zone, year, spans): the zone-offset intervals of each zone in ``zones``, exploded to the local years they touch.
 
-    At most as many rows as the zone database has names times the years asked for. Unknown names give none.
+    At most as many rows as the zone database has names (about 600) times the years listed, whatever ``zones`` holds: names
+    it doesn't know give none.
     """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows: dict[tuple[str, int], list] = {}
             for name in f.iloc[:, 0]:
-                for lo, hi, off, abbr in _intervals(name, first_year, last_year):
+                rows: dict[int, list] = {}
+                for lo, hi, off, abbr in _intervals(name, FIRST_YEAR, LAST_YEAR):
                     span = {"lo": lo, "hi": hi, "off": off, "abbr": abbr}
-                    for y in range(max(first_year, _local_year(lo)), min(last_year, _local_year(hi)) + 1):
-                        rows.setdefault((name, y), []).append(span)
-            if rows:
-                yield pd.DataFrame({"zone": [k[0] for k in rows], "year": [k[1] for k in rows], "spans": list(rows.values())})
+                    for y in range(max(FIRST_YEAR, _local_year(lo)), min(LAST_YEAR, _local_year(hi)) + 1):
+                        rows.setdefault(y, []).append(span)
+                if rows:
+                    yield pd.DataFrame({"zone": name, "year": list(rows), "spans": list(rows.values())})
 
     names = zones.select(F.col(column).alias("zone")).where("zone is not null").distinct()
     return names.mapInPandas(work, "zone string, year int, spans array<struct<lo:long,hi:long,off:int,abbr:string>>")
 
 
+def listed(year: Column, local: Column) -> tuple[Column, Column]:
+    """The year whose intervals hold for ``year``, and ``local`` (microseconds) moved there."""
+    cycles = F.greatest(F.lit(0), F.floor((year - F.lit(LAST_YEAR - CYCLE_YEARS)) / CYCLE_YEARS)).cast("long")
+    early = year < FIRST_YEAR
+    middle = int(dt.datetime(FIRST_YEAR, 7, 1, tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    return (
+        F.when(early, FIRST_YEAR).otherwise((year - cycles * CYCLE_YEARS).cast("int")),
+        F.when(early, F.lit(middle)).otherwise(local - cycles * CYCLE_SECONDS * 1_000_000),
+    )
+
+
 def _local_year(seconds: int) -> int:
     return (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds)).year
 
@@ -225,7 +245,9 @@ def normalise(
         *split_cell(F.col(value_date), "v"),
         F.when(ascii_digits(F.col(time)).rlike(r"\d"), F.col(time)).alias("time"),
     )
-    cells = tokens(tokens(cells, "d"), "v")
+    own = F.nullif(F.col("d")[3], F.lit(""))
+    # everything that needs no facts of the statement comes first, and is written: cells are parsed once
+    cells = written(clock(tokens(tokens(cells, "d"), "v").withColumn("timed", own.isNotNull() | F.col("time").isNotNull()), F.coalesce(own, "time")).drop("time"))
     known = statements.select(F.col(key).alias("key"), F.col(zone).alias("tz"), F.col(order).alias("given")).dropDuplicates(["key"])
     proof = order_evidence(cells, "key", ["d", "v"])
     facts = known.join(proof, "key", "full_outer").select(
@@ -239,13 +261,11 @@ def normalise(
     solid, spreadsheet = F.col("d_solid"), F.col("d_solid").rlike(r"^\d{5}(\.|$)")
     # spreadsheet day numbers hold their time of day as a fraction, to the microsecond
     part = F.expr("cast(round(cast(concat('0', substring(d_solid, 6)) as decimal(28,18)) * 86400, 6) * 1000000 as long)")
-    alone = spreadsheet & F.col("time").isNull()
-    own = F.nullif(F.col("d")[3], F.lit(""))
-    # everything that needs no facts of the statement comes before the join
-    ready = clock(cells, F.coalesce(own, "time")).select(
+    alone = spreadsheet & ~F.col("timed")
+    ready = cells.select(
         "id", "key", "d", "v", "d_solid", "v_solid", "d_form", "v_form",
         F.when(F.length(solid) >= 10, epoch_micros(solid)).alias("epoch"),
-        (alone | own.isNotNull() | F.col("time").isNotNull()).alias("timed"),
+        (alone | F.col("timed")).alias("timed"),
         F.when(alone, F.when(solid.contains("."), part).otherwise(0)).otherwise(F.col("us")).alias("us"),
         F.when(~alone, F.col("wz")).alias("wz"),
     )
@@ -253,11 +273,14 @@ def normalise(
     got = day_of(day_of(got, "d", F.col("order"), "day"), "v", F.col("order"), "vday")
     got = got.select("id", "tz", "day", "vday", "epoch", "timed", "us", "wz")
     local = F.unix_date("day").cast("long") * 86_400_000_000 + F.col("us")
-    got = got.withColumn("local", F.when(F.col("timed"), local)).withColumn("year", F.year("day"))
+    got = got.withColumn("local", F.when(F.col("timed"), local))
+    year, moved = listed(F.year("day"), F.col("local"))
+    got = got.withColumn("year", year).withColumn("moved", moved)
 
-    spans = zone_intervals(known, "tz")
+    # the bound of this table is the zone database's, so it may go to all executors, and a zone of most rows is no hot key
+    spans = F.broadcast(zone_intervals(known, "tz"))
     got = got.join(spans, (got.tz == spans.zone) & (got.year == spans.year), "left").drop(spans.year)
-    secs = F.floor(F.col("local") / 1_000_000)
+    secs = F.floor(F.col("moved") / 1_000_000)
     here = F.filter("spans", lambda s: (s["lo"] <= secs) & (secs < s["hi"]))
     wz = F.col("wz")
     named = F.create_map(*[F.lit(x) for pair in UNIVERSAL.items() for x in pair])
