@@ -1,10 +1,14 @@
 """Freely typed institution names mapped to a reference list.
 
-The reference list becomes a trie of its leading (brand) parts. A name is read against that trie by a Levenshtein
-automaton (one row of edit distances per trie node, adjacent transpositions counted as one edit), with a limit that grows
-with the length of the brand. Where a brand ends, the rest of the name must be an alias path of a kind of institution
-(written out, shortened, or as initials), which has to be met exactly: one letter apart can mean another kind. Names that
-begin with the kind take the same paths the other way round. All entries within the limit are returned, nearest first.
+The reference list becomes a trie of whole entries: each entry's leading (brand) part, from whose end the alias paths of its
+kind of institution go on (written out, shortened by rule, or as initials); entries of one kind share these paths. A name is
+read against the trie by a Levenshtein automaton (one row of edit distances per trie node, adjacent transpositions counted as
+one edit), with a limit that grows with the length. An alias path is met exactly where it can be, as one letter apart can mean
+another kind; only a name that meets none exactly may have typing errors there. Names that begin with the kind take the same
+paths the other way round. Names in Devanagari, romanised in many ways, are read against a trie of the brands' consonants in
+the same manner. ``candidates`` returns all entries within the limit, ``map_names`` the one that is meant.
+
+Distinct names are searched once each, and joined back to their rows.
 
 Defined results: null and blank names give no rows; a name without an entry within the limits, or equally near to
 several, gives ``bank_id`` -1. Several catalogue rows with one name give the smallest id. An empty catalogue makes every
@@ -16,22 +20,30 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import spread
-
-#: Alias paths of each kind of institution, as words run together.
-KINDS: dict[str, tuple[str, ...]] = {
-    "small": ("smallfinancebank", "smallfinancebk", "smallfinbank", "smallfinbk", "sfb", "smallfinance", "laghuvittabank"),
-    "payments": ("paymentsbank", "paymentsbk", "paymentbank", "paymentbk", "pymtsbank", "pymtsbk", "pymtbank", "paymtsbank", "paymtbank"),
-    "coop": ("cooperativebank", "cooperativebk", "coopbank", "coopbk", "sahakaribank", "sahakaribk", "cooperative", "sahakari"),
-    "gramin": ("graminbank", "graminbk", "grameenbank", "grameenbk", "gb", "gramin", "grameen", "gramenbank"),
-    "of": ("bankof", "bkof", "bo"),
-    "plain": ("bank", "bk"),
-}
+from ledgerloom.session import written
+
+#: What each kind of institution is called, and how its words are shortened besides by leaving out vowels.
+CALLED = {
+    "small": ("small finance bank", "small finance", "laghu vitta bank"), "payments": ("payments bank", "payment bank"), "coop": ("cooperative bank", "sahakari bank", "cooperative", "sahakari"),
+    "gramin": ("gramin bank", "grameen bank", "gramin", "grameen"), "of": ("bank of",), "plain": ("bank",),
+}
+SHORT = {"bank": ("bk",), "finance": ("fin",), "cooperative": ("coop",)}
+
+
+def _paths(called: tuple[str, ...]) -> tuple[str, ...]:
+    """The alias paths of a kind, run together: each word in full, shortened, or without its vowels; or the initials."""
+    forms = lambda w: (w, *SHORT.get(w, ()), w[0] + re.sub("[aeiou]", "", w[1:]))
+    out = ["".join(p) for name in called for p in product(*[forms(w) for w in name.split()])]
+    return tuple(dict.fromkeys([*out, "".join(w[0] for w in called[0].split())] if " " in called[0] else out))
+
+
+KINDS: dict[str, tuple[str, ...]] = {k: _paths(v) for k, v in CALLED.items()}
 #: Initials of each kind, as they follow the first letter of the brand.
 INITIALS = {"small": ("sfb",), "payments": ("pb",), "coop": ("cob", "cb"), "gramin": ("gb",), "plain": ("b",)}
 LEGAL = ("limited", "ltd")
@@ -84,25 +96,65 @@ def words(name: str) -> list[str]:
     return out
 
 
+def insert(trie: dict, word: str, payload: object) -> None:
+    for ch in word:
+        trie = trie.setdefault(ch, {})
+    trie.setdefault("", []).append(payload)
+
+
+#: More edits than any limit.
+FAR = 99
+
+
+def walk(trie: dict, text: str, start: list[int], widest: int) -> Iterator[tuple[object, list[int]]]:
+    """(payload, row) of every word of ``trie`` that can be within ``widest`` edits: row[i] is the number of edits by which the
+    word, after what ``start`` stands for, becomes the first i letters of ``text``."""
+
+    def down(node: dict, ch: str, above: list[int], before: list[int] | None, last: str) -> Iterator[tuple[object, list[int]]]:
+        row = [min(above[0] + 1, FAR)]
+        for i, c in enumerate(text, 1):
+            cost = min(row[i - 1] + 1, above[i] + 1, above[i - 1] + (c != ch))
+            if before is not None and i > 1 and c == last and text[i - 2] == ch:
+                cost = min(cost, before[i - 2] + 1)
+            row.append(cost)
+        if min(row) > widest:
+            return
+        for payload in node.get("", ()):
+            yield payload, row
+        for c, child in node.items():
+            if c:
+                yield from down(child, c, row, above, ch)
+
+    for c, child in trie.items():
+        if c:
+            yield from down(child, c, start, None, "")
+
+
 class Catalogue:
     """The trie and its alias paths."""
 
+    #: The shared part of the trie: alias paths of all kinds.
+    aliases: dict = {}
+    for _kind_name, _all in KINDS.items():
+        for _path in _all:
+            insert(aliases, _path, (_kind_name, len(_path)))
+
     def __init__(self, entries: list[tuple[int, str]]) -> None:
         self.trie: dict = {}
+        self.skeletons: dict = {}
         self.kinds: dict[str, dict[str, int]] = {}
         self.initials: dict[str, set[tuple[str, int]]] = {}
         for bank_id, name in sorted(entries):
             brand, kind = self._split(words(name))
             if not brand or bank_id is None:
                 continue
+            if brand not in self.kinds:
+                insert(self.trie, brand, brand)
+                insert(self.skeletons, consonants(brand), brand)
             by = self.kinds.setdefault(brand, {})
             if kind in by:
                 continue
             by[kind] = bank_id
-            node = self.trie
-            for ch in brand:
-                node = node.setdefault(ch, {})
-            node[""] = brand
             for short in INITIALS.get(kind, ()):
                 for legal in ("", "l"):
                     self.initials.setdefault(brand[0] + short + legal, set()).add((brand, bank_id))
@@ -130,28 +182,34 @@ class Catalogue:
 
     def brands(self, text: str) -> Iterator[tuple[str, int, int]]:
         """(brand, letters of ``text`` used, edits) for every brand within its limit of a prefix of ``text``."""
-        widest = 2
-        first = list(range(len(text) + 1))
-
-        def walk(node: dict, ch: str, above: list[int], before: list[int] | None, last: str) -> Iterator[tuple[str, int, int]]:
-            row = [above[0] + 1]
-            for i, c in enumerate(text, 1):
-                cost = min(row[i - 1] + 1, above[i] + 1, above[i - 1] + (c != ch))
-                if before is not None and i > 1 and c == last and text[i - 2] == ch:
-                    cost = min(cost, before[i - 2] + 1)
-                row.append(cost)
-            if "" in node:
-                brand = node[""]
-                for i, d in enumerate(row):
-                    if d <= self.limit(len(brand)):
-                        yield brand, i, d
-            if min(row) <= widest:
-                for c, child in node.items():
-                    if c:
-                        yield from walk(child, c, row, above, ch)
-
-        for c, child in self.trie.items():
-            yield from walk(child, c, first, None, "")
+        for brand, row in walk(self.trie, text, list(range(len(text) + 1)), 2):
+            for i, d in enumerate(row):
+                if d <= self.limit(len(brand)):
+                    yield brand, i, d
+
+    def whole(self, text: str, bounds: set[int]) -> Iterator[tuple[str, str, int]]:
+        """(brand, kind, edits) of every entry whose brand and alias path together, either way round, are within the limit of a
+        beginning of ``text`` that ends between words."""
+        size = len(text) + 1
+
+        def within(row: list[int], most: int) -> list[int]:
+            return [d if d <= most else FAR for d in row]
+
+        for brand, row in walk(self.trie, text, list(range(size)), 2):
+            for (kind, length), end in walk(self.aliases, text, within(row, self.limit(len(brand))), 2):
+                d = min((end[i] for i in bounds), default=FAR)
+                if kind != "of" and length > 2 and d <= self.limit(len(brand) + length):
+                    yield brand, kind, d
+        for (kind, length), row in walk(self.aliases, text, list(range(size)), 1):
+            if length < 4:
+                continue
+            start = [d if i in bounds and d <= self.limit(length) else FAR for i, d in enumerate(row)]
+            if min(start) > 1:
+                continue
+            for brand, end in walk(self.trie, text, start, 2):
+                d = min((end[i] for i in bounds), default=FAR)
+                if d <= self.limit(len(brand) + length):
+                    yield brand, kind, d
 
     @staticmethod
     def _kind(rest: str, bounds: set[int]) -> set[tuple[str, int]]:
@@ -208,6 +266,13 @@ class Catalogue:
                             offer(brand, k, edits)
                             if k == "plain" and "of" in self.kinds[brand]:
                                 offer(brand, "of", edits)
+        if not found:
+            # no alias path is met exactly: typing errors there as well
+            for v in sorted(variants):
+                shift = len(text) - len(v)
+                for brand, kind, edits in self.whole(v, {e - shift for e in ends}):
+                    if kind in self.kinds[brand]:
+                        offer(brand, kind, edits)
         return sorted((d, b) for b, d in found.items())
 
     def match(self, name: str, hint: str | None = None) -> int:
@@ -217,15 +282,18 @@ class Catalogue:
         if len(parts) == 1 and parts[0] in self.initials:
             near = {b for brand, b in self.initials[parts[0]] if not lead or brand.startswith(lead)} or {b for _, b in self.initials[parts[0]]}
             return min(near) if len(near) == 1 else -1
-        near = self.search(name)
-        if not near and any(ord(c) > 0x8FF for c in name):
-            near = self.search_devanagari(name)
+        near = self.nearest(name)
         if not near:
             return -1
         best = [b for d, b in near if d == near[0][0]]
         best = [b for b in best if b >= 0] or best
         return best[0] if len(best) == 1 else -1
 
+    def nearest(self, name: str) -> list[tuple[int, int]]:
+        """What ``search`` finds, or, for names in Devanagari, the search by consonants."""
+        got = self.search(name)
+        return got if got or not any(ord(c) > 0x8FF for c in name) else self.search_devanagari(name)
+
     def search_devanagari(self, name: str) -> list[tuple[int, int]]:
         """Romanised names are spelled in many ways: brands are compared by their consonants."""
         parts = words(name)
@@ -237,7 +305,7 @@ class Catalogue:
                 continue
             kind = max(ks, key=lambda x: x[1])[0]
             heads = consonants("".join(parts[:cut]))
-            scored = sorted((edits(heads, consonants(b)), b) for b in self.kinds)
+            scored = sorted((row[-1], brand) for brand, row in walk(self.skeletons, heads, list(range(len(heads) + 1)), 2))
             if scored and scored[0][0] <= 1 and (len(scored) < 2 or scored[1][0] > scored[0][0]):
                 out[self.kinds[scored[0][1]].get(kind, -1)] = scored[0][0]
             break
@@ -250,16 +318,6 @@ def consonants(latin: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub("[aeiouh]", "", x))
 
 
-def edits(a: str, b: str) -> int:
-    """Levenshtein distance."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
-
-
 def load(catalogue: DataFrame, id: str = "bank_id", name: str = "bank_name", max_entries: int = 200_000) -> list[tuple[int, str]]:
     """The reference list; more than ``max_entries`` rows are refused, since each worker holds it."""
     rows = catalogue.select(F.col(id).cast("long").alias("i"), F.col(name).alias("n")).where("i is not null and n is not null").limit(max_entries + 1).collect()
@@ -268,31 +326,31 @@ def load(catalogue: DataFrame, id: str = "bank_id", name: str = "bank_name", max
     return [(r.i, r.n) for r in rows]
 
 
-def map_names(
-    df: DataFrame, catalogue: DataFrame, id: str = "detection_id", name: str = "bank_name", hint: str | None = "ifsc", max_entries: int = 200_000
-) -> DataFrame:
-    """(id, bank_id): the entry of ``catalogue`` that each name means, -1 where it has none."""
+def _searched(df: DataFrame, catalogue: DataFrame, id: str, name: str, hint: str | None, max_entries: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, names): the rows with a name, and each distinct name with the entry that is meant and all within the limit."""
     entries = load(catalogue, max_entries=max_entries)
     rows = df.select(
-        F.col(id).cast("long").alias("id"), F.col(name).cast("string").alias("name"), (F.col(hint) if hint else F.lit(None)).cast("string").alias("hint")
-    ).where(F.trim(F.regexp_replace("name", r"[\s ]+", " ")) != "")
-
-    # equal names meet in one task, where a name is searched once
-    rows = spread(rows, "name")
+        F.col(id).cast("long").alias("id"), F.col(name).cast("string").alias("name_"), F.coalesce((F.col(hint) if hint else F.lit(None)).cast("string"), F.lit("")).alias("hint")
+    ).where(F.trim(F.regexp_replace("name_", r"[\s\x{00A0}]+", " ")) != "")
+    # searching is work of milliseconds a name, so that few names are spread over all cores too
+    names = rows.select("name_", "hint").distinct().repartition(3 * df.sparkSession.sparkContext.defaultParallelism, "name_", "hint")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Catalogue(entries)
-        cache: dict[tuple, int] = {}
         for f in frames:
-            out = []
-            for key in zip(f.name_, f.hint):
-                got = cache.get(key)
-                if got is None:
-                    if len(cache) > 200_000:
-                        cache.clear()
-                    got = cache[key] = known.match(*key)
-                out.append(got)
-            yield pd.DataFrame({"id": f.id, "bank_id": pd.Series(out, dtype="int64", index=f.index)})
-
-    out = rows.withColumnRenamed("name", "name_").mapInPandas(work, "id long, bank_id long")
-    return out.withColumnRenamed("id", id) if id != "id" else out
+            near = [[{"bank_id": b, "edits": d} for d, b in known.nearest(n) if b >= 0] for n in f.name_]
+            yield pd.DataFrame({"name_": f.name_, "hint": f.hint, "bank_id": pd.Series([known.match(n, h) for n, h in zip(f.name_, f.hint)], dtype="int64", index=f.index), "near": near})
+
+    return rows, written(names.mapInPandas(work, "name_ string, hint string, bank_id long, near array<struct<bank_id:long,edits:int>>"))
+
+
+def map_names(df: DataFrame, catalogue: DataFrame, id: str = "detection_id", name: str = "bank_name", hint: str | None = "ifsc", max_entries: int = 200_000) -> DataFrame:
+    """(id, bank_id): the entry of ``catalogue`` that each name means, -1 where it has none."""
+    rows, names = _searched(df, catalogue, id, name, hint, max_entries)
+    return rows.join(names, ["name_", "hint"]).select(F.col("id").alias(id), "bank_id")
+
+
+def candidates(df: DataFrame, catalogue: DataFrame, id: str = "detection_id", name: str = "bank_name", max_entries: int = 200_000) -> DataFrame:
+    """(id, bank_id, edits): all entries of ``catalogue`` within the length-dependent limit of each name."""
+    rows, names = _searched(df, catalogue, id, name, None, max_entries)
+    return rows.join(names, ["name_", "hint"]).select(F.col("id").alias(id), F.explode("near").alias("x")).select(id, "x.bank_id", "x.edits")

@@ -1,8 +1,9 @@
 """Text garbled by reading bytes in the wrong encoding: found, and restored where that is possible.
 
 A multinomial classifier on hashed bigrams of UTF-8 bytes is trained on words garbled synthetically through each chain of
-encodings and predicts the exact chain of a suspicious word. The chain is then inverted: a word counts as damaged only if
-the inverse is strictly decodable to characters in use. Damage that lost bytes (replacement characters, question marks
+encodings, also twice or put in capitals afterwards, and predicts the exact chain of a suspicious word. The chain is then
+inverted: a word counts as damaged only if the classifier holds the chain for more likely than none and the inverse is strictly
+decodable to characters in use. Damage that lost bytes (replacement characters, question marks
 inside words) is found but can't be restored.
 
 Words are classified on their own, so damage in places is found too. Built-in expressions leave out all records without a
@@ -25,11 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: (encoding the bytes were in, encoding they were read as); a chain may be gone through twice.
+#: (encoding the bytes were in, encoding they were read as).
 CHAINS: tuple[tuple[str, str], ...] = (
     ("utf-8", "latin-1"), ("utf-8", "cp1252"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "mac-roman"), ("utf-8", "cp1251"),
     ("cp1252", "cp1251"), ("cp1252", "mac-roman"),
 )
+#: Chains gone through twice, as classes of their own.
+TWICE: tuple[tuple[tuple[str, str], ...], ...] = tuple((a, b) for a in CHAINS[:2] for b in CHAINS[:2])
 CLEAN, LOST = "clean", "lost"
 DIMS = 8192
 #: Words of the languages at hand and symbols, from which garbled ones are made.
@@ -135,8 +138,9 @@ def unshout(word: str, chain: tuple[str, str]) -> str | None:
 
 
 def _features(word: str) -> np.ndarray:
+    """Hashed bigrams of bytes, of which one at least is no ASCII: how common the letters around are tells nothing."""
     raw = b"\x02" + word.encode("utf-8", "surrogatepass") + b"\x03"
-    return np.array([(raw[i] * 257 + raw[i + 1] * 31) % DIMS for i in range(len(raw) - 1)], np.int64)
+    return np.array([(a * 257 + b * 31) % DIMS for a, b in zip(raw, raw[1:]) if a > 0x7F or b > 0x7F], np.int64)
 
 
 @dataclass
@@ -160,14 +164,19 @@ def train(smoothing: float = 0.05) -> Classifier:
     words += [w.strip("“”‘’.,।") for w in words]
     words = [w for w in dict.fromkeys(words) if w]
     proper = PROPER.split()
-    classes: list = [CLEAN, *CHAINS]
+    classes: list = [CLEAN, *((c,) for c in CHAINS), *TWICE]
     counts = np.full((len(classes), DIMS), smoothing)
     for w in words + proper:
         np.add.at(counts[0], _features(w), 1)
-    for k, chain in enumerate(CHAINS, 1):
+    for k, steps in enumerate(classes[1:], 1):
         for w in words:
-            if (g := garble(w, chain)) and g != w:
+            g = w
+            for step in steps:
+                g = g and garble(g, step)
+            if g and g != w:
                 np.add.at(counts[k], _features(g), 1)
+                if steps[0][0] == "utf-8" and g.upper() != g:
+                    np.add.at(counts[k], _features(g.upper()), 0.2)
     return Classifier(classes, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
@@ -199,21 +208,22 @@ class Detector:
             return LOST, None
         if _PLAIN.fullmatch(w):
             return CLEAN, w
-        # chains that strict decoding can prove come before those between single-byte encodings
-        for odds, chain in sorted(self.model.ranked(w), key=lambda x: x[1][0] != "utf-8"):
-            if chain == CLEAN:
-                continue
-            multi = chain[0] == "utf-8"
+        ranked = [(odds, steps) for odds, steps in self.model.ranked(w) if steps != CLEAN and odds > 0]
+        # of the chains that are likelier than none, those that strict decoding can prove come first
+        for odds, steps in sorted(ranked, key=lambda x: x[1][0][0] != "utf-8"):
+            multi = steps[0][0] == "utf-8"
             if not multi and odds < 4:
                 continue
-            out = invert(w, chain)
-            if out is None and multi and w.upper() == w:
-                out = unshout(w, chain)
+            out: str | None = w
+            for step in reversed(steps):
+                out = out and invert(out, step)
+            if out is None and multi and len(steps) == 1 and w.upper() == w:
+                out = unshout(w, steps[0])
             if out is None or not multi and not self._natural(w, out):
                 continue
             again = self._judge(out)[1] if multi and not _PLAIN.fullmatch(out) else None
-            return chain, again if again is not None else out
-        return self._partly(w)
+            return steps[0], again if again is not None else out
+        return self._partly(w, [steps[0] for _, steps in ranked if len(steps) == 1 and steps[0][0] == "utf-8"])
 
     @staticmethod
     def _natural(before: str, after: str) -> bool:
@@ -226,11 +236,9 @@ class Detector:
         body = "".join(letters)
         return mixed and len(body) > 2 - ("’" in after) and (body.islower() or body.isupper() or body[0].isupper() and body[1:].islower() or "’" in after)
 
-    def _partly(self, w: str) -> tuple[object, str | None]:
-        """A garbled word that was cut: most, not all of it decodes."""
-        for chain in CHAINS:
-            if chain[0] != "utf-8":
-                continue
+    def _partly(self, w: str, chains: list[tuple[str, str]]) -> tuple[object, str | None]:
+        """A garbled word that was cut: by one of the likely ``chains`` most, not all of it decodes."""
+        for chain in chains:
             raw = _bytes(w, chain[1])
             if raw is None:
                 continue

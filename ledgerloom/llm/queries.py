@@ -40,7 +40,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.map_names(table(spark, d, "detections"), table(spark, d, "banks_catalog")).withColumnRenamed("id", "detection_id")
+    return catalog.map_names(table(spark, d, "detections"), table(spark, d, "banks_catalog"))
+
+
+def p4_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All entries within the limit of each name."""
+    return catalog.candidates(table(spark, d, "detections"), table(spark, d, "banks_catalog"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +87,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_labelled, p1_segments, p2_found, p2_restored, p4_found, p6_found, p6_collapsed, p7_found, p7_redacted, p8_packed, p9_mixed, p9_shares, p10_found,
+        p1_found, p1_labelled, p1_segments, p2_found, p2_restored, p4_found, p4_candidates, p6_found, p6_collapsed, p7_found, p7_redacted, p8_packed, p9_mixed, p9_shares, p10_found,
     )
 }
 _STRIP = r"regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"
