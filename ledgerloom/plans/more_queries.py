@@ -13,25 +13,45 @@ from ledgerloom.session import table
 from ledgerloom.sources import files
 
 R = Registry()
+#: Characters of words and blanks of every script, for SQL, whose patterns look neither ahead nor behind: what stands around a
+#: match is taken in and put back, twice, so that matches side by side are met too.
+_W, _B = r"[\p{L}\p{N}_]", r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_EDGE, _CLOSE = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
+
+
+def _swap(column: str, pattern: str, new: str) -> str:
+    once = lambda x: f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return once(once(column))
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-_ISO, _DMY = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
+#: Cells as they are tried in turn, and the formats.
+_CELL = r"trim(trim(replace(replace(trim({c}), chr(10), ''), chr(160), ' ')), chr(39) || chr(34))"
+_LONG, _SHORT = (", ".join(f"'{f}'" for f in dates.DATES if y in f) for y in ("%Y", "%y"))
+_FIRST = "regexp_extract(x, '^[^ \\t\\r\\f]+')"
+
+
+def _tried(*cells: str) -> str:
+    """Years of four digits and of two apart, as SQL takes either for the other."""
+    return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({c}, '[0-9]{{4}}') THEN try_strptime({c}, [{_LONG}]) ELSE try_strptime({c}, [{_SHORT}]) END" for c in cells) + ")"
 
 
-@R.add(f"""SELECT row_id, CAST(CASE WHEN regexp_matches(trim(value_date), '{_ISO}') THEN TRY_CAST(trim(value_date) AS DATE) WHEN regexp_matches(translate(trim(value_date), '.-', '//'), '{_DMY}') THEN
-TRY_CAST(lpad(split_part(translate(trim(value_date), '.-', '//'), '/', 3), 4, '0') || '-' || lpad(split_part(translate(trim(value_date), '.-', '//'), '/', 2), 2, '0') || '-' || lpad(split_part(translate(trim(value_date), '.-', '//'), '/', 1), 2, '0') AS DATE) END AS VARCHAR) AS day FROM statement_rows""")
+@R.add(rf"""WITH t AS (SELECT row_id, {_CELL.format(c='value_date')} AS x FROM statement_rows)
+SELECT row_id, CAST(CAST(coalesce(CASE WHEN regexp_matches(x, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ].*)?$') THEN TRY_CAST(left(x, 10) AS TIMESTAMP) WHEN regexp_matches(x, '^[0-9]{{8}}$') THEN try_strptime(x, '%Y%m%d') END,
+  {_tried('x', "translate(x, '.-', '//')")}, CASE WHEN contains(x, ':') THEN {_tried(_FIRST, f"translate({_FIRST}, '.-', '//')")} END) AS DATE) AS VARCHAR) AS day FROM t""")
 def parse_date(spark: SparkSession, d: str) -> DataFrame:
-    """ISO first, then day before month; the SQL knows two of the ten formats."""
+    """ISO first, then day before month, in ten formats."""
     return table(spark, d, "statement_rows").select("row_id", dates.parse_date("value_date").alias("day"))
 
 
-@R.add(r"""SELECT row_id, CASE WHEN regexp_matches(trim(time), '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]') THEN left(trim(time), 8) WHEN regexp_matches(trim(time), '^([01][0-9]|2[0-3]):[0-5][0-9]$') THEN trim(time) || ':00' END AS time FROM statement_rows""")
+@R.add(r"""WITH t AS (SELECT row_id, trim(time) AS x, regexp_extract(trim(time), '^((0?[1-9]|1[0-2]):[0-5][0-9](:[0-5][0-9])?)(\.[0-9]+)? ?([AaPp][Mm])([^A-Za-z]|$)', ['a', 'b', 'c', 'd', 'e', 'f']) AS m FROM statement_rows)
+SELECT row_id, coalesce(strftime(try_strptime(x, ['%H:%M:%S', '%I:%M:%S %p', '%H:%M', '%I:%M %p']), '%H:%M:%S'), strftime(try_strptime(regexp_extract(x, '[^ \t]+$'), ['%H:%M:%S', '%H:%M']), '%H:%M:%S'),
+  CASE WHEN m.e <> '' THEN strftime(try_strptime(m.a || ' ' || m.e, ['%I:%M:%S %p', '%I:%M %p']), '%H:%M:%S') END, CASE WHEN regexp_matches(x, '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]') THEN left(x, 8) END) AS time FROM t""")
 def parse_time(spark: SparkSession, d: str) -> DataFrame:
-    """Times of 24 and 12 hours; the SQL knows only those of 24."""
+    """Times of 24 and 12 hours."""
     return table(spark, d, "statement_rows").select("row_id", dates.parse_time("time").alias("time"))
 
 
@@ -104,10 +124,21 @@ def header_memory(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "column_mappings").select("mapping_id", F.last("canonical_field", ignorenulls=True).over(w).alias("field"))
 
 
-@R.add("""WITH p AS (SELECT statement_id, page_number, count(*) AS rows, lag(count(*)) OVER (PARTITION BY statement_id ORDER BY page_number) AS before FROM statement_rows GROUP BY 1, 2) SELECT statement_id, page_number, rows, before IS NOT NULL AS stitched FROM p""")
+_CELLS = ["date", "value_date", "time", "description", "reference_number", "debit", "credit", "balance"]
+_GLUE = "CASE WHEN n.c[{i}] IS NULL OR trim(n.c[{i}]) = '' THEN o.c[{i}] WHEN trim(coalesce(o.c[{i}], '')) = '' THEN trim(n.c[{i}]) WHEN trim(n.c[{i}]) IN ('CR', 'DR', 'Cr', 'Dr') THEN trim(o.c[{i}]) || trim(n.c[{i}]) ELSE trim(o.c[{i}]) || ' ' || trim(n.c[{i}]) END"
+
+
+@R.add(f"""WITH r AS (SELECT row_id, statement_id, page_number, row_index, [{', '.join(_CELLS)}] AS c FROM statement_rows),
+e AS (SELECT statement_id, page_number, arg_min(struct_pack(row_id := row_id, c := c), struct_pack(a := row_index, b := row_id)) AS top, arg_max(struct_pack(row_id := row_id, c := c), struct_pack(a := row_index, b := row_id)) AS low FROM r GROUP BY 1, 2),
+q AS (SELECT lag(low) OVER (PARTITION BY statement_id ORDER BY page_number) AS o, top AS n FROM e),
+k AS (SELECT o, n, trim(replace(coalesce(o.c[1], ''), chr(10), '')) AS od, trim(replace(coalesce(n.c[1], ''), chr(10), '')) AS nd, list_filter(list_transform(n.c, lambda v: trim(coalesce(v, ''))), lambda v: v <> '') AS f FROM q WHERE o IS NOT NULL),
+j AS (SELECT o.row_id AS row_id, n.row_id AS gone, [CASE WHEN regexp_matches(od, '[0-9]{{1,2}}-$') AND regexp_full_match(nd, '[0-9]{{2,4}}|[0-9]{{1,2}}-[0-9]{{2,4}}') THEN od || nd ELSE od END, {', '.join(_GLUE.format(i=i) for i in range(2, 9))}] AS c FROM k
+  WHERE (regexp_matches(od, '[0-9]{{1,2}}-$') AND regexp_full_match(nd, '[0-9]{{2,4}}|[0-9]{{1,2}}-[0-9]{{2,4}}')) OR (nd = '' AND len(f) BETWEEN 1 AND 2 AND len(list_filter(f, lambda v: regexp_full_match(v, '[0-9,]+\\.[0-9]{{2}}'))) = 0
+  AND regexp_matches(od, '[0-9]{{1,2}}[/.-][\\p{{L}}\\p{{N}}_]{{3,}}[/.-][0-9]{{2,4}}|[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-][0-9]{{2,4}}')))
+SELECT r.row_id, r.statement_id, r.page_number, r.row_index, {', '.join(f'CASE WHEN j.row_id IS NULL THEN r.c[{i}] ELSE j.c[{i}] END AS {c}' for i, c in enumerate(_CELLS, 1))}, j.row_id IS NOT NULL AS stitched FROM r LEFT JOIN j USING (row_id) WHERE r.row_id NOT IN (SELECT gone FROM j)""")
 def table_stitch(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of statements, those that a page break cut in two put together; the SQL counts the rows of pages."""
-    cells = ["date", "value_date", "time", "description", "reference_number", "debit", "credit", "balance"]
+    """Rows of statements, those that a page break cut in two put together."""
+    cells = _CELLS
     x = table(spark, d, "statement_rows").select("row_id", "statement_id", "page_number", "row_index", *cells)
     return rows.stitched_rows(x, "statement_id", "page_number", "row_index", "row_id", cells)
 
@@ -148,15 +179,19 @@ def glossary_apply(spark: SparkSession, d: str) -> DataFrame:
     return protect.apply_rows(docs(spark, d), "doc_id", "text", "text string, terms int", lambda t: [pattern.subn(lambda m: _TERMS[m[0]], t)])
 
 
-@R.add(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bcheque\s*book\b', 'chequebook', 'g'), '(?i)\bpass\s*book\b', 'passbook', 'g'), '(?i)\be-?mail\b', 'email', 'g'), '(?i)\bA/c\b', 'account', 'g'), '(?i)\bRs\.?\s*([0-9])', 'INR \1', 'g')) AS digest FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*') OR text IS NULL""")
+_HARMONY = (("cheque" + _B + "*book" + _CLOSE, "chequebook"), ("pass" + _B + "*book" + _CLOSE, "passbook"), ("e-?mail" + _CLOSE, "email"), ("A/c" + _CLOSE, "account"), (r"Rs\.?" + _B + r"*(\p{Nd})", "INR "))
+_HARMONISED = "text"
+for _pattern, _word in _HARMONY:
+    _HARMONISED = _swap(_HARMONISED, f"(?i){_EDGE}{_pattern}", rf"\1{_word}\2")
+
+
+@R.add(f"SELECT doc_id, md5({_HARMONISED}) AS digest FROM documents")
 def harmonize(spark: SparkSession, d: str) -> DataFrame:
-    """Every document; the SQL has those in ASCII only."""
     return docs(spark, d).select("doc_id", F.md5(protect.harmonise(F.col("text"))).alias("digest"))
 
 
-@R.add(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\s+([,.;:)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g'), '\s*/\s*', '/', 'g')) AS digest FROM documents WHERE regexp_full_match(text, '[\x20-\x7e\n]*')""")
+@R.add(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{_B}+([,.;:)\]])', '\1', 'g'), '([(\[]){_B}+', '\1', 'g'), '{_B}*/{_B}*', '/', 'g')) AS digest FROM documents""")
 def clean_legal_text(spark: SparkSession, d: str) -> DataFrame:
-    """Every document; the SQL has those in printable ASCII only."""
     return docs(spark, d).select("doc_id", F.md5(protect.clean_legal(F.col("text"))).alias("digest"))
 
 
@@ -327,9 +362,9 @@ def redact_text(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.md5(F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[redacted]")).alias("digest"))
 
 
-@R.add("""SELECT span_id, regexp_replace(regexp_replace(text, '\\bO([0-9])', '0\\1', 'g'), '([0-9])[lI]\\b', '\\11', 'g') AS repaired FROM text_spans WHERE regexp_full_match(text, '[\\x20-\\x7e]*')""")
+@R.add("SELECT span_id, " + _swap(_swap("text", _EDGE + "O([0-9])", r"\10\2"), "([0-9])[lI]" + _CLOSE, r"\11\2") + " AS repaired FROM text_spans")
 def critical_repair(spark: SparkSession, d: str) -> DataFrame:
-    """Letters inside numbers that scanners take for digits, in every span; the SQL has those in printable ASCII only."""
+    """Letters inside numbers that scanners take for digits, in every span."""
     x = F.regexp_replace(F.regexp_replace("text", any_script(r"\bO([0-9])"), "0$1"), any_script(r"([0-9])[lI]\b"), "$11")
     return table(spark, d, "text_spans").select("span_id", x.alias("repaired"))
 

@@ -19,12 +19,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.changes(table(spark, d, "column_mappings"), table(spark, d, "raw_records"))
 
 
+def p5_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Alternatives of a type that appear in a column, however few cells they have."""
+    return schema_drift.alternatives(table(spark, d, "column_mappings"), table(spark, d, "raw_records"))
+
+
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.unify(table(spark, d, "column_mappings"), table(spark, d, "raw_records"))
 
 
 MODULES = (ledger_queries, text_queries, event_queries, more_queries)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p5_found": p5_found, "p5_unified": p5_unified}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p5_found": p5_found, "p5_alternatives": p5_alternatives, "p5_unified": p5_unified}
 _KEY = r"regexp_replace(lower(h), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
 SQL: dict[str, str] = {
     "p5_found": r"""WITH one AS (SELECT feed_id, file_id, column_index, period_start AS ps, source_header AS h, canonical_field AS cf, row_number() OVER (PARTITION BY file_id, column_index ORDER BY mapping_id) AS r FROM column_mappings),

@@ -137,9 +137,14 @@ def factual_equivalence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "translations").select("result_id", ((n > F.length("translated_text") * F.lit(0.35)) & (F.col("direction") == "hi-en")).alias("residue"))
 
 
-@R.add("""SELECT detection_id, CAST(levenshtein(lower(bank_name), bank_name) AS DOUBLE) / length(bank_name) AS cer FROM detections WHERE regexp_full_match(bank_name, '[\\x20-\\x7e]+')""")
+#: The distance counts bytes in SQL, so each character becomes one byte, by its place among all characters of both names.
+_ONE = "list_aggregate(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: chr(CAST(31 + list_position(abc, c) AS INTEGER))), 'string_agg', '')"
+
+
+@R.add(rf"""WITH t AS (SELECT detection_id, nfc_normalize(lower(bank_name)) AS x, nfc_normalize(bank_name) AS y FROM detections), a AS (SELECT *, list_distinct(regexp_extract_all(x || y, '(?s).')) AS abc FROM t)
+SELECT detection_id, CASE WHEN length(x) = 0 THEN CASE WHEN length(y) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(levenshtein({_ONE.format(x='x')}, {_ONE.format(x='y')}) AS DOUBLE) / length(x) END AS cer FROM a""")
 def cer(spark: SparkSession, d: str) -> DataFrame:
-    """How far typed names are from their form in small letters; the SQL has those in printable ASCII only."""
+    """How far typed names are from their form in small letters."""
     return table(spark, d, "detections").select("detection_id", text.character_error_rate(F.lower("bank_name"), F.col("bank_name")).alias("cer"))
 
 
@@ -206,11 +211,11 @@ def ifsc_repair(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "detections").select("detection_id", identifiers.repair_ifsc(spoilt).alias("repaired"))
 
 
-@R.add(r"""WITH s AS (SELECT row_id, upper(regexp_replace(translate(reference_number, '05', 'OS'), '[\s\-_:/]', '', 'g')) AS x FROM statement_rows), f AS (SELECT *, translate(x, 'ODQISBZ', '0001582') AS y FROM s)
-SELECT row_id, CASE WHEN length(x) = 12 AND NOT regexp_matches(x, '^[A-Z]{4}') AND regexp_matches(y, '^[0-9]{12}$') THEN y ELSE x END AS value, CASE WHEN length(x) = 12 AND NOT regexp_matches(x, '^[A-Z]{4}') AND regexp_matches(y, '^[0-9]{12}$') THEN 'UPI' END AS kind FROM f
-WHERE length(x) NOT IN (16, 22) OR x IS NULL""")
+@R.add(r"""WITH s AS (SELECT row_id, upper(regexp_replace(translate(reference_number, '05', 'OS'), '[\s\-_:/]', '', 'g')) AS x FROM statement_rows),
+f AS (SELECT *, translate(x, 'ODQISBZ', '0001582') AS u, translate(left(x, 4), '01582', 'OISBZ') || translate(substr(x, 5, 12), 'ODQISBZ', '0001582') AS n, translate(left(x, 4), '01582', 'OISBZ') || substr(x, 5, 1) || translate(substr(x, 6, 17), 'ODQISBZ', '0001582') AS r FROM s),
+k AS (SELECT *, CASE WHEN length(x) = 12 AND NOT regexp_matches(x, '^[A-Z]{4}') AND regexp_matches(u, '^[0-9]{12}$') THEN 'UPI' WHEN length(x) = 16 AND regexp_matches(n, '^[A-Z]{4}[0-9]{12}$') THEN 'NEFT' WHEN length(x) = 22 AND regexp_matches(r, '^[A-Z]{4}[R0-9][0-9]{17}$') THEN 'RTGS' END AS kind FROM f)
+SELECT row_id, CASE kind WHEN 'UPI' THEN u WHEN 'NEFT' THEN n WHEN 'RTGS' THEN r ELSE x END AS value, kind FROM k""")
 def utr_repair(spark: SparkSession, d: str) -> DataFrame:
-    """Every reference; the SQL leaves out those of NEFT and RTGS."""
     got = identifiers.repair_utr(F.translate("reference_number", "05", "OS"))
     return table(spark, d, "statement_rows").select("row_id", got.alias("x")).select("row_id", "x.value", "x.kind")
 

@@ -26,22 +26,47 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a folder of
+    its own; on a cluster, where a folder of one machine wouldn't be seen by the others, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _own(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def kept(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application; it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}"
+    where, fs = _own(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table written in the shared folder: its lineage ends there and it outlives lost executors."""
+    """``df`` as a table written in the shared folder: its lineage ends there and it outlives lost executors. It is deleted when
+    the application ends, or by ``release``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
+    path = f"{kept(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all that ``written`` has written in this application. For long sessions, once results are stored."""
+    where, fs = _own(spark, f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}")
+    fs.delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
