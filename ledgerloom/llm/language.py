@@ -49,7 +49,12 @@ _END = re.compile(
     r"(?<!\bPvt\.)(?<!\bSmt\.)(?<!\bShri\.)(?<!\bPh\.)\s+(?=[^\sa-z0-9₹])|(?<=।)"
 )
 _NUMBER = re.compile(r"\d(?:[\d,./:-]*\d)?")
-_ADDRESS = re.compile(r"\S+@\S+|[\w.+-]+ ?(?:AT|[\[(]at[\])]) ?[\w-]+(?:(?:\.| ?(?:DOT|[\[(]dot[\])]) ?)[\w-]+)+|\bhttps?://\S+|\b(?:sd|c)/[-o]")
+_ADDRESS = re.compile(r"(?<!\S)\S*@\S*|\bhttps?://\S+|\b(?:sd|c)/[-o]")
+#: The same one by one, each with what a text must hold for it; one pattern for all is slow on long texts.
+_PLAIN = ((re.compile(r"(?<!\S)\S*@\S*"), ("@",)), (re.compile(r"\bhttps?://\S+"), ("://",)), (re.compile(r"\b(?:sd|c)/[-o]"), ("sd/-", "sd/o", "c/o", "c/-")))
+#: An address with its signs written out; looked for only in lines that hold such a sign.
+_SIGN = re.compile(r" AT |[\[(]at[\])]")
+_SPELLED = re.compile(r"[\w.+-]+ ?(?:AT|[\[(]at[\])]) ?[\w-]+(?:(?:\.| ?(?:DOT|[\[(]dot[\])]) ?)[\w-]+)+")
 #: Whether a text can hold garbled words at all.
 _ODD = re.compile("[^\x00-\x7fऀ-෿“”‘’–—…₹€£‌‍]")
 
@@ -169,6 +174,7 @@ class Labeller:
         self.model, self.keep = model, keep
         self.words: dict[str, int] = {}
         self.scores = np.zeros((1024, len(LANGUAGES)))
+        self.parts: dict[str, tuple[np.ndarray, bool]] = {}
         self.known: dict[str, list[tuple[str, str, float, bool, int]]] = {}
 
     def _word(self, w: str) -> int:
@@ -180,51 +186,71 @@ class Labeller:
             self.scores[i] = self.model.score(w)
         return i
 
-    def chains(self, lines: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(marginals, how much each word tells, number of its sentence) of all words of ``lines``, each a list of sentences,
-        each a list of words; a word tells as much as its own scores spread."""
-        sizes = np.array([len(s) for line in lines for s in line], np.int64)
-        lengths = np.array([sum(map(len, line)) for line in lines], np.int64)
-        ids = np.array([self._word(w) for line in lines for s in line for w in s], np.int64)
-        emit = self.scores[ids]
+    def _part(self, sentence: str) -> tuple[np.ndarray, bool]:
+        """(words by number, whether it is a whole sentence)."""
+        got = self.parts.get(sentence)
+        if got is None:
+            words = _TOKEN.findall(sentence)
+            got = self.parts[sentence] = (np.array([self._word(w) for w in words], np.int64), whole_sentence(words))
+        return got
+
+    def chains(self, ids: list[np.ndarray], per_line: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(marginals, how much each word tells, number of its sentence) of all words of sentences ``ids``, so many of which make
+        a line; a word tells as much as its own scores spread."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        per_line = np.array(per_line)
+        lengths = np.add.reduceat(sizes, np.cumsum(per_line) - per_line)
+        emit = self.scores[np.concatenate(ids)]
         sentence = np.repeat(np.arange(len(sizes)), sizes)
         cross = np.zeros(len(emit), bool)
         cross[1:] = sentence[1:] != sentence[:-1]
         gamma = marginals(emit, lengths, self.model.trans, self.model.start, self.model.across, cross)
-        order = np.sort(emit, axis=1)
+        order = np.partition(emit, -2, axis=1)
         return gamma, np.minimum(order[:, -1] - order[:, -2], 2.0), sentence
 
     def learn(self, lines: list[str]) -> None:
         """Judges lines not known yet."""
         if len(self.known) > self.keep:
             self.known.clear()
-        if len(self.words) > self.keep:
+        if len(self.words) > self.keep or len(self.parts) > self.keep:
             self.words.clear()
+            self.parts.clear()
         todo = [x for x in dict.fromkeys(lines) if x not in self.known]
-        cut = [[s for s in _END.split(x)] for x in todo]
-        words = [[_TOKEN.findall(s) for s in c] for c in cut]
-        got = self.chains(words) if any(w for line in words for w in line) else None
-        at = 0
-        count = sum(map(len, cut))
-        if got is not None:
-            gamma, tells, sentence = got
+        if not todo:
+            return
+        cut = [_END.split(x) for x in todo]
+        parts = [self._part(s) for c in cut for s in c]
+        count = len(parts)
+        mass, decoded, telling = np.zeros((count, len(LANGUAGES))), np.zeros((count, len(LANGUAGES))), np.zeros(count)
+        if any(len(p[0]) for p in parts):
+            gamma, tells, sentence = self.chains([p[0] for p in parts], [len(c) for c in cut])
             best = gamma.argmax(axis=1)
-            decoded, mass = np.zeros((count, len(LANGUAGES))), np.zeros((count, len(LANGUAGES)))
-            np.add.at(decoded, (sentence, best), gamma[np.arange(len(best)), best] * tells)
-            np.add.at(mass, sentence, gamma * tells[:, None])
+            # words of a sentence stand together, so sums over it are sums over a range
+            has, first = np.unique(sentence, return_index=True)
+            weighted = gamma * tells[:, None]
+            mass[has] = np.add.reduceat(weighted, first, axis=0)
+            weighted[np.arange(len(LANGUAGES))[None, :] != best[:, None]] = 0.0
+            decoded[has] = np.add.reduceat(weighted, first, axis=0)
             telling = np.bincount(sentence, tells > 0.5, count)
-            total, top = mass.sum(axis=1), decoded.argmax(axis=1)
-        for x, sentences, found in zip(todo, cut, words):
+        total, top = mass.sum(axis=1), decoded.argmax(axis=1)
+        sure = mass[np.arange(count), top] / np.maximum(total, 1e-300)
+        usable = (telling >= 2) & (total > 0)
+        at = 0
+        for x, sentences in zip(todo, cut):
             out = []
-            for s, w in zip(sentences, found):
-                if w and telling[at] >= 2 and total[at] > 0:
-                    out.append((s, LANGUAGES[top[at]], float(mass[at, top[at]] / total[at]), whole_sentence(w), len(s)))
+            for s in sentences:
+                if usable[at]:
+                    out.append((s, LANGUAGES[top[at]], float(sure[at]), parts[at][1], len(s)))
                 at += 1
             self.known[x] = out
 
     def lines(self, texts: list[str]) -> list[list[list[tuple[str, str, float, bool, int]]]]:
         """For each text, for each line, its telling sentences as (sentence, language, confidence, whole, letters)."""
-        cut = [_NUMBER.sub("0", _ADDRESS.sub(" ", t) if "@" in t or "/" in t or "AT" in t or "(at)" in t or "[at]" in t else t).split("\n") for t in texts]
+        plain = list(texts)
+        for pattern, marks in _PLAIN:
+            plain = [pattern.sub(" ", t) if any(m in t for m in marks) else t for t in plain]
+        plain = ["\n".join(_SPELLED.sub(" ", x) if _SIGN.search(x) else x for x in t.split("\n")) if _SIGN.search(t) else t for t in plain]
+        cut = [_NUMBER.sub("0", t).split("\n") for t in plain]
         self.learn([line for t in cut for line in t if line.strip()])
         return [[self.known[line] if line.strip() else [] for line in t] for t in cut]
 
@@ -241,7 +267,7 @@ class Labeller:
             at = cut[1]
         if not spans:
             return []
-        gamma, tells, _ = self.chains([words])
+        gamma, tells, _ = self.chains([np.array([self._word(w) for w in s], np.int64) for s in words], [len(words)])
         best = gamma.argmax(axis=1)
         out: list[list] = []
         for (a, b), k, g, t in zip(spans, best, gamma, tells):
@@ -296,6 +322,7 @@ def label_segments(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             for i, t in zip(f["id"], f["text"]):
                 if len(labeller.words) > labeller.keep:
                     labeller.words.clear()
+                    labeller.parts.clear()
                 out = [(i, n, *x) for n, line in enumerate(t.split("\n")) for x in labeller.segments(line)]
                 yield pd.DataFrame(out, columns=["id", "line_no", "start", "end", "lang", "confidence"])
 

@@ -51,7 +51,7 @@ def test_transitions_count():
     assert all(model.trans[i, i] == model.trans[i].max() for i in range(len(language.LANGUAGES)))
     assert (np.diag(model.trans) - model.trans.mean(axis=1) > np.diag(model.across) - model.across.mean(axis=1)).all()
     lab = Labeller(model)
-    gamma, _, _ = lab.chains([[["plus", "tard", "ils", "sont", "venus"]], [["a", "plus", "for", "all", "of", "us"]]])
+    gamma, _, _ = lab.chains([lab._part("plus tard ils sont venus")[0], lab._part("a plus for all of us")[0]], [1, 1])
     assert language.LANGUAGES[gamma[0].argmax()] == "fr" and language.LANGUAGES[gamma[6].argmax()] == "en"
 
 
