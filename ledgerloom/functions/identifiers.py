@@ -13,18 +13,25 @@ BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Characters that scanners take for each other.
 TO_LETTER = ("01582", "OISBZ")
 TO_DIGIT = ("ODQISBZ", "0001582")
+#: The same for tax numbers, where L is read as 1, and D and Q stay letters.
+TAX_DIGIT = ("OILSBZ", "011582")
 
 
 def _clean(c: Column) -> Column:
     return F.upper(F.regexp_replace(c, r"[\s\-_:/]", ""))
 
 
+def _upper(c: Column) -> Column:
+    """Separators inside a tax number make it none, so only the blanks around it go."""
+    return F.upper(F.trim(c))
+
+
 def verify_pan(c: Column) -> Column:
-    return _clean(c).rlike(rf"^[A-Z]{{3}}[{PAN_KINDS}][A-Z][0-9]{{4}}[A-Z]$")
+    return _upper(c).rlike(rf"^[A-Z]{{3}}[{PAN_KINDS}][A-Z][0-9]{{4}}[A-Z]$")
 
 
 def verify_tan(c: Column) -> Column:
-    return _clean(c).rlike(r"^[A-Z]{4}[0-9]{5}[A-Z]$")
+    return _upper(c).rlike(r"^[A-Z]{4}[0-9]{5}[A-Z]$")
 
 
 def verify_cin(c: Column) -> Column:
@@ -54,10 +61,10 @@ def gstin_check_digit(c: Column) -> Column:
 
 
 def verify_gstin(c: Column) -> Column:
-    x = _clean(c)
+    x = _upper(c)
     state = F.substring(x, 1, 2).try_cast("int")
     return (
-        x.rlike(r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$") & (state.between(1, 38) | state.isin(97, 99)) & verify_pan(F.substring(x, 3, 10))
+        x.rlike(r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]$") & (state.between(1, 38) | state.isin(97, 99)) & verify_pan(F.substring(x, 3, 10))
         & (F.substring(x, 15, 1) == gstin_check_digit(F.substring(x, 1, 14)))
     )
 
@@ -94,7 +101,7 @@ def repair_utr(c: Column) -> Column:
 
 def repair_pan(c: Column) -> Column:
     x = _clean(c)
-    fixed = F.concat(F.translate(F.substring(x, 1, 5), *TO_LETTER), F.translate(F.substring(x, 6, 4), *TO_DIGIT), F.translate(F.substring(x, 10, 1), *TO_LETTER))
+    fixed = F.concat(F.translate(F.substring(x, 1, 5), *TO_LETTER), F.translate(F.substring(x, 6, 4), *TAX_DIGIT), F.translate(F.substring(x, 10, 1), *TO_LETTER))
     return F.when((F.length(x) == 10) & verify_pan(fixed), fixed).otherwise(x)
 
 

@@ -52,7 +52,7 @@ def transaction_mode(c: Column) -> Column:
 
 def indian_format(c: Column) -> Column:
     """An amount with digits grouped in lakhs and crores."""
-    text = F.format_string("%.2f", F.abs(c).cast("double"))
+    text = F.abs(c).cast("decimal(38,2)").cast("string")
     whole, cents = F.substring_index(text, ".", 1), F.substring_index(text, ".", -1)
     grouped = F.regexp_replace(whole, r"(?<=\d)(?=(\d\d)+\d$)", ",")
     return F.concat(F.when(c < 0, "-").otherwise(""), grouped, F.lit("."), cents)

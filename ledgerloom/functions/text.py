@@ -14,23 +14,40 @@ DEVANAGARI_DIGITS = "०१२३४५६७८९"
 MARATHI = ("आहे", "आणि", "नाही", "झाली", "केला", "आम्ही", "तुमची", "तुमचा")
 NEPALI = ("छ", "भएको", "गर्नुहोस्", "तपाईंको", "हामीले", "गरेको", "अहिले", "छैन")
 HINDI = ("है", "हैं", "और", "में", "नहीं", "कर", "आपके", "हमने")
-#: What a page or span can hold that matters, in order of precedence.
+#: Beginning and end of a word, for patterns that are only asked whether they are met.
+_L, _R = r"(^|[^A-Za-z0-9_])", r"($|[^A-Za-z0-9_])"
+#: What a span can hold that matters, in order of precedence: the name of a class, and what shows it.
 CRITICAL = (
-    ("CURRENCY_AMOUNT", r"(?i)₹|Rs\.?|INR|debited|credited|balance|\b\d{1,3}(,\d{2,3})+(\.\d{1,2})?\b|\b\d+\.\d{2}\b"),
-    ("STATUTORY_IDENTIFIER", r"\b([A-Z]{5}[0-9]{4}[A-Z]|[A-Z]{4}0[A-Z0-9]{6}|[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]|[A-Z]{4}[0-9]{12})\b"),
-    ("ACCOUNT_REFERENCE", r"(?i)\b(a/c|acct|account|chq|cheque|ref|reference|utr|txn|transaction|neft|rtgs|imps)[ .:#-]*[a-z0-9_]+"),
-    ("LEGAL_REFERENCE", r"(?i)\b(section|sec\.?|rule|article|order|clause) *[0-9IVXLCDM]+|\b(FIR|PMLA|CrPC|IPC|BNS|BNSS|BSA)\b"),
-    ("DATE", r"(?i)\b\d{1,2}[-./]\d{1,2}[-./]\d{2,4}\b|\b\d{1,2} +(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* +\d{2,4}\b"),
-    ("PERCENTAGE_RATE", r"(?i)\b\d+(\.\d+)? *(%|percent\b|p\.a\.|per +annum\b)"),
+    # a sign or code of a currency before digits, or digits in groups, or with two decimals
+    ("CURRENCY_AMOUNT", r"[₹€£$] ?[0-9]|" + _L + r"(Rs|INR|USD|EUR|GBP)[.]? ?[0-9]|" + _L + r"[0-9]{1,3}(,[0-9]{2,3})+([.][0-9]+)?" + _R + "|" + _L + r"[0-9]+[.][0-9]{2}" + _R),
+    # the shapes of tax, goods tax, bank routing and court case numbers
+    ("STATUTORY_IDENTIFIER", _L + r"([A-Z]{5}[0-9]{4}[A-Z]|[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]|[A-Z]{4}0[A-Z0-9]{6}|[A-Z]{4}[0-9]{12})" + _R),
+    # a word for an account, payment or reference, and a code with a digit after it
+    ("ACCOUNT_REFERENCE", r"(?i)" + _L + r"(account|acc?t|a/c|savings|loan|cheque|chq|utr|upi|imps|neft|rtgs|txn|transaction|payment|ref|reference|खाता|संदर्भ)( ?(no|number|id|संख्या))?[ .:#-]*[a-z]*[0-9][a-z0-9/-]*"),
+    # a part of a statute and its number
+    ("LEGAL_REFERENCE", r"(?i)" + _L + r"(sections?|sec|rules?|articles?|orders?|clauses?|धारा|नियम|अनुच्छेद)[. ]*(no[.]? ?)?([0-9]+|[ivxlc]+)" + _R),
+    # digits or a month's name in the order of a date
+    ("DATE", _L + r"([0-9]{1,2}[-/.][0-9]{1,2}[-/.]([0-9]{4}|[0-9]{2})|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?i:[0-9]{1,2}[ -](jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ ,-]+[0-9]{2,4}))" + _R),
+    ("PERCENTAGE_RATE", r"(?i)[0-9]([.][0-9]+)? ?(%|per ?cent|p[.]a[.]|per annum|प्रतिशत)"),
+    # a short label whose value stands in the next span
+    ("LABEL_PREFIX", r"^[^0-9:]{2,40}:$"),
+)
+#: A span that only names what the next one holds.
+LABEL = (
+    r"(?i)^((customer|account|a/c|acct|policy|loan|card|cheque|invoice|bill|order|case|reference|ref|utr|txn|transaction|pan|tan|gstin|gst|cin|cnr|din|ifsc|aadhaar|phone|mobile)[ .]*(no|number|id|code)?"
+    r"|(opening|closing|total|net|value|due|issue|birth)? ?(balance|amount|date)|नाम|पता|दिनांक|खाता संख्या|राशि|शेष|संदर्भ संख्या)[ .:#-]*$"
 )
 #: Facts that a copy or a translation of a text has to keep, by precedence.
 FACTS = (
     ("url", r"https?://[^ \n\t]+|www\.[^ \n\t]+"),
     ("email", r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\.[a-zA-Z]{2,}"),
-    ("date", r"\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b"),
-    ("id", r"\b[A-Za-z]+[0-9][A-Za-z0-9_-]*\b"),
-    ("percent", r"[0-9]+(,[0-9]+)*(\.[0-9]+)? *%"),
-    ("number", r"[0-9]+(,[0-9]+)*(\.[0-9]+)?"),
+    ("statutory", r"[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]|[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}|[A-Z]{5}[0-9]{4}[A-Z]|[A-Z]{4}0[A-Z0-9]{6}"),
+    ("date", r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}"),
+    ("id", r"[A-Za-z]+[0-9][A-Za-z0-9_-]*"),
+    ("percent", r"-?[0-9]+(,[0-9]+)*(\.[0-9]+)? *%"),
+    # a currency and its amount are two facts
+    ("money", r"(₹|€|£|Rs\.?|INR|USD|EUR) *-?[0-9]+(,[0-9]+)*(\.[0-9]+)?"),
+    ("number", r"-?[0-9]+(,[0-9]+)*(\.[0-9]+)?"),
 )
 
 
@@ -98,8 +115,14 @@ def usable(text: Column, coverage: Column | None = None) -> Column:
 def facts(c: Column) -> Column:
     """The facts of ``c``: each kind is taken and blanked out before the next, numbers without grouping commas."""
     rest, parts = ascii_numerals(c), []
-    for _, pattern in FACTS:
-        parts.append(F.transform(F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1)), lambda t: F.lower(F.regexp_replace(t, r",(?=[0-9])| ", ""))))
+    for kind, pattern in FACTS:
+        found = F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1))
+        plain = F.transform(found, lambda t: F.lower(F.regexp_replace(t, ",| ", "")))
+        if kind == "money":
+            amounts = F.transform(plain, lambda t: F.regexp_replace(t, r"^[^0-9-]+", ""))
+            signs = F.transform(plain, lambda t: F.regexp_replace(F.regexp_replace(t, r"[0-9.-]+$", ""), r"^(₹|rs)$", "inr"))
+            plain = F.concat(signs, amounts)
+        parts.append(plain)
         rest = F.regexp_replace(rest, pattern, " ")
     return F.concat(*parts)
 
@@ -129,8 +152,8 @@ def character_error_rate(source: Column, target: Column) -> Column:
 
 
 def citations(c: Column) -> Column:
-    """Distinct references to sections, rules and articles."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(r"((?:Section|Rule|Article|Order) [0-9]+[A-Z]?)"), F.lit(1))), 1, 15)
+    """Distinct references to sections, rules and articles, all of them, in the order of the text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"((?:Section|Rule|Article|Order) [0-9]+[A-Z]?)"), F.lit(1)))
 
 
 def restore(text: Column, spans: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import written
+
 TOLERANCE = 0.01
 
 
@@ -44,11 +46,49 @@ def running_balance_check(df: DataFrame, keys: Sequence[str], seq: str, debit: s
     return x.withColumn("discontinuity", F.coalesce(bad, F.lit(False))).drop("_blk", "_a", "_c")
 
 
+def beside(df: DataFrame, keys: Sequence[str], seq: str, columns: Sequence[str], block: int = 1_000_000) -> DataFrame:
+    """``df`` with ``_prev`` and ``_next``, structs of ``columns`` of the rows before and after in the order of ``seq``. Rows are
+    sorted within blocks of ``seq``; the ends of blocks meet in a table with a row per group and block."""
+    row = F.struct(*columns)
+    x = df.withColumn("_blk", F.floor(F.col(seq) / block))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(seq)
+    x = x.withColumn("_prev", F.lag(row).over(inside)).withColumn("_next", F.lead(row).over(inside))
+    ends = x.groupBy(*keys, "_blk").agg(F.min_by(row, seq).alias("_head"), F.max_by(row, seq).alias("_tail"))
+    blocks = Window.partitionBy(*keys).orderBy("_blk")
+    ends = ends.select(*keys, "_blk", F.lag("_tail").over(blocks).alias("_before"), F.lead("_head").over(blocks).alias("_after"))
+    joined = x.join(ends, [x[k].eqNullSafe(ends[k]) for k in (*keys, "_blk")]).drop(*[ends[k] for k in (*keys, "_blk")])
+    return joined.withColumn("_prev", F.coalesce("_prev", "_before")).withColumn("_next", F.coalesce("_next", "_after")).drop("_blk", "_before", "_after")
+
+
+def counted(df: DataFrame, keys: Sequence[str], seq: str, flag: Column, name: str, block: int = 1_000_000) -> DataFrame:
+    """``df`` with ``name``, how many rows up to each one have ``flag``, and ``{name}_all``, how many of the group; by blocks."""
+    x = df.withColumn("_blk", F.floor(F.col(seq) / block)).withColumn("_one", F.when(flag, 1).otherwise(0))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("_in", F.sum("_one").over(inside))
+    sums = x.groupBy(*keys, "_blk").agg(F.sum("_one").alias("_n"))
+    of_key = Window.partitionBy(*keys)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(of_key.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(f"{name}_all", F.sum("_n").over(of_key)).drop("_n")
+    joined = x.join(sums, [x[k].eqNullSafe(sums[k]) for k in (*keys, "_blk")]).drop(*[sums[k] for k in (*keys, "_blk")])
+    return joined.withColumn(name, F.col("_in") + F.col("_base")).drop("_blk", "_one", "_in", "_base")
+
+
+def carried(df: DataFrame, keys: Sequence[str], seq: str, value: Column, name: str, block: int = 1_000_000) -> DataFrame:
+    """``df`` with ``name``, the last ``value`` that isn't null up to each row; by blocks."""
+    x = df.withColumn("_blk", F.floor(F.col(seq) / block)).withColumn("_v", value)
+    upto = Window.partitionBy(*keys, "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("_in", F.last("_v", ignorenulls=True).over(upto))
+    ends = x.groupBy(*keys, "_blk").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(seq))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_blk", F.last("_end", ignorenulls=True).over(before).alias("_from"))
+    joined = x.join(ends, [x[k].eqNullSafe(ends[k]) for k in (*keys, "_blk")]).drop(*[ends[k] for k in (*keys, "_blk")])
+    return joined.withColumn(name, F.coalesce("_in", "_from")).drop("_blk", "_v", "_in", "_from")
+
+
 def repeated_daily_balance(df: DataFrame, keys: Sequence[str], seq: str, day: str, balance: str) -> DataFrame:
     """``df`` with ``exempt``: the next row has the same day and balance."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    same = (F.lead(day).over(w) == F.col(day)) & (F.abs(F.lead(balance).over(w) - F.col(balance)) < TOLERANCE)
-    return df.withColumn("exempt", F.coalesce(same, F.lit(False)))
+    x = beside(df, keys, seq, [day, balance])
+    same = (F.col("_next")[day] == F.col(day)) & (F.abs(F.col("_next")[balance] - F.col(balance)) < TOLERANCE)
+    return x.withColumn("exempt", F.coalesce(same, F.lit(False))).drop("_prev", "_next")
 
 
 def backward_anchor(df: DataFrame, keys: Sequence[str], seq: str, debit: str, credit: str, balance: str, block: int = 1_000_000) -> DataFrame:
@@ -62,16 +102,15 @@ def backward_anchor(df: DataFrame, keys: Sequence[str], seq: str, debit: str, cr
 def order_and_inversion(df: DataFrame, keys: Sequence[str], seq: str, day: str, debit: str, credit: str, balance: str) -> DataFrame:
     """Per group: how many neighbours chain forwards, backwards and with debit and credit swapped; ``reversed`` and
     ``inverted`` verdicts (ties on order go to strictly falling days; inversion needs two, a majority, and three quarters)."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    prev, nxt, net = F.lag(balance).over(w), F.lead(balance).over(w), _net(debit, credit)
-    x = df.select(
+    prev, nxt, net, before = F.col("_prev")[balance], F.col("_next")[balance], _net(debit, credit), F.col("_prev")[day]
+    x = beside(df, keys, seq, [day, balance]).select(
         *keys,
         (F.col(balance) == prev + net).alias("f"),
         (F.col(balance) == nxt + net).alias("r"),
         ((F.col(balance) == prev - net) & (net != 0)).alias("i"),
         ((prev.isNotNull()) & (net != 0)).alias("t"),
-        (F.col(day) < F.lag(day).over(w)).alias("falls"),
-        (F.col(day) > F.lag(day).over(w)).alias("rises"),
+        (F.col(day) < before).alias("falls"),
+        (F.col(day) > before).alias("rises"),
     )
     n = lambda c: F.count_if(F.col(c))
     got = x.groupBy(*keys).agg(n("f").alias("forward"), n("r").alias("backward"), n("i").alias("swapped"), n("t").alias("testable"), n("falls").alias("falling"), n("rises").alias("rising"))
@@ -135,8 +174,7 @@ def renumber(df: DataFrame, order: Sequence[str], partitions: str, name: str = "
 
 def sample_rows(df: DataFrame, keys: Sequence[str], seq: str, head: int = 3, middle: int = 2, tail: int = 3) -> DataFrame:
     """The first, last and evenly spaced rows of each group."""
-    w = Window.partitionBy(*keys)
-    x = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy(seq)))
+    x = counted(df, keys, seq, F.lit(True), "_i").withColumnRenamed("_i_all", "_n")
     step = (F.col("_n") / (middle + 1)).cast("int")
     keep = (F.col("_i") <= head) | (F.col("_i") > F.col("_n") - tail)
     for k in range(1, middle + 1):
@@ -147,8 +185,7 @@ def sample_rows(df: DataFrame, keys: Sequence[str], seq: str, head: int = 3, mid
 def continuation_merge(df: DataFrame, keys: Sequence[str], seq: str, kind: str, text: str) -> DataFrame:
     """(keys, seq, merged, n_parts) per transaction row: texts of the continuation rows after it are appended; continuation
     rows before the first transaction of a group are orphans, with seq null."""
-    w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = df.where(F.col(kind).isin("TRANSACTION", "CONTINUATION")).withColumn("_g", F.sum(F.when(F.col(kind) == "TRANSACTION", 1).otherwise(0)).over(w))
+    x = counted(df.where(F.col(kind).isin("TRANSACTION", "CONTINUATION")), keys, seq, F.col(kind) == "TRANSACTION", "_g")
     parts = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(text).alias("t"))))
     return x.groupBy(*keys, "_g").agg(F.min(F.when(F.col(kind) == "TRANSACTION", F.col(seq))).alias(seq), parts.alias("p")).select(
         *keys, seq, F.array_join(F.transform("p", lambda q: q["t"]), " ").alias("merged"), F.size("p").alias("n_parts")
@@ -157,28 +194,55 @@ def continuation_merge(df: DataFrame, keys: Sequence[str], seq: str, kind: str,
 
 def inherit_date(df: DataFrame, keys: Sequence[str], seq: str, day: str, raw: str) -> DataFrame:
     """``df`` with ``inherited``: blank or ditto dates take the last good one of the group, but not across a bad one."""
-    w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blank = F.coalesce(F.trim(F.col(raw)).isin("", "--", '"', "do", "ditto"), F.lit(True))
     mark = F.when(~blank, F.struct(F.col(day).alias("d")))
-    return df.withColumn("inherited", F.coalesce(F.col(day), F.when(blank, F.last(mark, ignorenulls=True).over(w)["d"])))
+    x = carried(df, keys, seq, mark, "_mark")
+    return x.withColumn("inherited", F.coalesce(F.col(day), F.when(blank, F.col("_mark")["d"]))).drop("_mark")
 
 
 def after_end_marker(df: DataFrame, keys: Sequence[str], seq: str, is_end: Column) -> DataFrame:
     """Rows up to and including the first end marker of each group."""
-    before = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    x = df.withColumn("_past", F.coalesce(F.max(F.when(is_end, 1).otherwise(0)).over(before), F.lit(0)))
-    return x.where("_past = 0").drop("_past")
+    ends = df.groupBy(*keys).agg(F.min(F.when(is_end, F.col(seq))).alias("_end"))
+    x = df.join(ends, [df[k].eqNullSafe(ends[k]) for k in keys]).drop(*[ends[k] for k in keys])
+    return x.where(F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))).drop("_end")
+
+
+def path_of(edges: list[tuple[int, int]]) -> list[int] | None:
+    """The numbers of ``edges`` in an order in which each begins where the one before ends; None if there is none."""
+    leaving: dict[int, list[int]] = {}
+    balance: dict[int, int] = {}
+    for i, (a, b) in reversed(list(enumerate(edges))):
+        leaving.setdefault(a, []).append(i)
+        balance[a] = balance.get(a, 0) + 1
+        balance[b] = balance.get(b, 0) - 1
+    starts = [v for v, n in balance.items() if n > 0]
+    if len(starts) > 1 or starts and balance[starts[0]] > 1:
+        return None
+    stack: list[tuple[int, int | None]] = [(starts[0] if starts else edges[0][0], None)]
+    out: list[int] = []
+    while stack:
+        at, by = stack[-1]
+        if leaving.get(at):
+            i = leaving[at].pop()
+            stack.append((edges[i][1], i))
+        else:
+            stack.pop()
+            if by is not None:
+                out.append(by)
+    return out[::-1] if len(out) == len(edges) else None
 
 
 def intraday_reorder(df: DataFrame, keys: Sequence[str], seq: str, debit: str, credit: str, balance: str, most: int = 12) -> DataFrame:
-    """(keys, seq, position): rows of each day in an order in which their balances chain, found by following who can come
-    after whom; days above ``most`` rows, or without such an order, stay as they are. Only days that fail are handed over."""
+    """(keys, seq, position): rows of each day in an order in which their balances chain. Up to ``most`` rows that is the first
+    such order by depth-first search; above, a path that uses each row once, a row leading from the balance before it to its own
+    (which exists, and is found, in a time linear in the rows). Days without such an order stay as they are. Only days that
+    fail are handed over."""
     w = Window.partitionBy(*keys).orderBy(seq)
     net = _net(debit, credit)
     x = df.select(*keys, seq, F.col(balance).cast("double").alias("_b"), net.cast("double").alias("_m"), (F.col(balance) == F.lag(balance).over(w) + net).alias("_ok"))
     whole = Window.partitionBy(*keys)
     x = x.withColumn("_bad", F.count_if(~F.col("_ok")).over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_nulls", F.count_if(F.col("_b").isNull()).over(whole))
-    hard = (F.col("_bad") > 0) & (F.col("_n") <= most) & (F.col("_nulls") == 0)
+    hard = (F.col("_bad") > 0) & (F.col("_nulls") == 0)
     easy = x.where(~hard).select(*keys, seq, F.row_number().over(w).cast("int").alias("position"))
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
@@ -195,7 +259,7 @@ def intraday_reorder(df: DataFrame, keys: Sequence[str], seq: str, debit: str, c
                         return got
             return None
 
-        path = search([], set()) or list(range(n))
+        path = (search([], set()) if n <= most else path_of([(round(100 * (y - x)), round(100 * y)) for x, y in zip(m, b)])) or list(range(n))
         rows["position"] = [path.index(i) + 1 for i in range(n)]
         return rows[[*keys, seq, "position"]]
 
@@ -203,29 +267,75 @@ def intraday_reorder(df: DataFrame, keys: Sequence[str], seq: str, debit: str, c
     return easy.unionByName(x.where(hard).groupBy(*keys).applyInPandas(chain, schema))
 
 
-def duplicate_transactions(df: DataFrame, id: str, block: Sequence[str], ref: str, balance: str, statement: str, seq: str, text: str) -> DataFrame:
-    """(id, of_id, verdict): rows of a block (account, day, amounts) that repeat an earlier one. PROVEN: equal reference, or
-    equal text and balance across statements; PROBABLE: equal text without proof. Different references or balances, or
-    another place in the same statement without an equal reference, rule a pair out.
+def token_sorted(c: Column) -> Column:
+    """The words of ``c`` in small letters, sorted."""
+    return F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")), " ")
 
-    Rows are compared within equal (block, reference) and (block, text) only, each against the first of its run, so no pairs
-    are enumerated and a block of any size stays linear."""
-    key = F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9]+", " ")
+
+def similar_texts(texts: DataFrame, least: float = 0.8) -> DataFrame:
+    """(block, a, b): texts of one block whose edit distance leaves at least ``least`` of the longer one, each pair both ways.
+    Such texts share a run of two letters, or of four if they are longer than 15, so that only those are compared."""
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - n + 1)), lambda i: F.substr("t", i, F.lit(n)))
+    both = F.when(F.length("t") <= 15, grams(2)).when(F.length("t") <= 20, F.concat(grams(2), grams(4))).otherwise(grams(4))
+    keyed = texts.where("t <> ''").select("block", "t", F.explode(F.array_distinct(both)).alias("g"))
+    left, right = keyed.select("block", "g", F.col("t").alias("a")), keyed.select("block", "g", F.col("t").alias("b"))
+    pairs = left.join(right, ["block", "g"]).where("a <> b and abs(length(a) - length(b)) <= 0.2 * greatest(length(a), length(b))").select("block", "a", "b").distinct()
+    return pairs.where(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")) >= least)
+
+
+def duplicate_transactions(df: DataFrame, id: str, block: Sequence[str], ref: str, balance: str, statement: str, seq: str, text: str, time: str | None = None, least: float = 0.8) -> DataFrame:
+    """(id, of_id, verdict): rows of a block (account, day, amounts, currency) that repeat an earlier one. Two rows contradict
+    each other if both have a time, reference or balance and these differ, or if they stand in one statement at different places
+    without an equal reference. PROVEN: equal reference, or equal text and balance, in different statements or with a reference on
+    one side only. PROBABLE: equal text, or, where neither has a reference, a similar one, without proof.
+
+    ``of_id`` is the first earlier row that proves it, else the first that makes it probable. Rows without any of the block's
+    day and amounts repeat nothing. Survivors aren't enriched: each row is compared with the rows as they came.
+
+    No pairs are made within a block: every row offers itself under the keys by which a later row may find it (with its own
+    reference, balance and time, or with "none" or "any" in their place), the first row of each key and the first of another
+    statement are kept, and every row looks up the few keys that suit it. Only rows of blocks with several rows take part."""
     has_ref = F.coalesce(F.trim(F.col(ref)) != "", F.lit(False))
-    x = df.withColumn("_t", F.trim(key)).withColumn("_r", F.when(has_ref, F.upper(F.trim(F.col(ref)))))
-    by_ref = Window.partitionBy(*block, "_r").orderBy(id)
-    by_text = Window.partitionBy(*block, "_t").orderBy(id)
-    x = x.withColumn("_pr", F.when(F.col("_r").isNotNull(), F.first(id).over(by_ref)))
-    first = F.first(F.struct(F.col(id).alias("id"), F.col("_r").alias("r"), F.col(balance).alias("b"), F.col(statement).alias("s"))).over(by_text)
-    x = x.withColumn("_f", first)
-    other_ref = F.col("_r").isNotNull() & F.col("_f.r").isNotNull() & (F.col("_r") != F.col("_f.r"))
-    other_balance = F.col(balance).isNotNull() & F.col("_f.b").isNotNull() & (F.abs(F.col(balance) - F.col("_f.b")) >= TOLERANCE)
-    same_statement = F.col(statement).eqNullSafe(F.col("_f.s"))
-    text_pair = (F.col("_f.id") != F.col(id)) & ~other_ref & ~other_balance & ~same_statement
-    proven_text = text_pair & (F.col(balance) == F.col("_f.b"))
-    verdict = F.when(F.col("_pr") != F.col(id), "PROVEN").when(proven_text, "PROVEN").when(text_pair, "PROBABLE")
-    of = F.when(F.col("_pr") != F.col(id), F.col("_pr")).otherwise(F.col("_f.id"))
-    return x.select(F.col(id).alias("id"), of.alias("of_id"), verdict.alias("verdict")).where("verdict is not null")
+    place = F.concat_ws("|", F.col(statement).cast("string"), F.col(seq).cast("string"))
+    x = df.select(
+        F.col(id).alias("id"), F.xxhash64(*block).alias("block"), token_sorted(F.col(text)).alias("t"), F.when(has_ref, F.upper(F.trim(F.col(ref)))).alias("r"),
+        F.col(balance).cast("string").alias("b"), (F.col(time) if time else F.lit(None)).cast("string").alias("m"), F.col(statement).cast("string").alias("s"), place.alias("p"),
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(block)],
+    )
+    keys = [f"_k{i}" for i in range(len(block))]
+    several = x.groupBy("block", *keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    x = x.join(several, [x["block"] == several["block"], *[x[k].eqNullSafe(several[k]) for k in keys]], "left_semi").drop(*keys)
+    x = written(x)
+
+    # "=" own value, "0" none, "1" some, "*" any
+    own = lambda c: F.concat(F.lit("="), F.col(c))
+    wild = lambda c: F.array(F.coalesce(own(c), F.lit("0")), F.lit("*"))
+    seek = lambda c: F.when(F.col(c).isNull(), F.array(F.lit("*"))).otherwise(F.array(own(c), F.lit("0")))
+    offers = x.select("id", "s", "block", "t", F.explode(F.when(F.col("r").isNull(), F.array(F.lit("0"))).otherwise(F.array(F.lit("1"), own("r")))).alias("kr"), "b", "m", "p", "r")
+    offers = offers.select("id", "s", "block", F.explode(F.when(F.col("kr").startswith("="), F.array(F.lit("ref"), F.lit("place"))).otherwise(F.array(F.lit("text"), F.lit("place")))).alias("way"), "t", "kr", "b", "m", "p")
+    offers = offers.where("not (way = 'place' and kr like '=%')")
+    offers = offers.withColumn("kb", F.explode(wild("b"))).withColumn("km", F.explode(wild("m")))
+    with_key = lambda df: df.withColumn("key", F.xxhash64("block", "way", F.when(F.col("way") != "ref", F.col("t")), "kr", "kb", "km", F.when(F.col("way") == "place", F.col("p"))))
+    offers = with_key(offers)
+    first = offers.groupBy("key").agg(F.min(F.struct("id", "s")).alias("a"))
+    other = offers.join(first, "key").where(~F.col("s").eqNullSafe(F.col("a.s"))).groupBy("key").agg(F.min("id").alias("other"))
+    table = first.join(other, "key", "left").select("key", F.col("a.id").alias("first_id"), F.col("a.s").alias("first_s"), "other")
+
+    same = x.withColumn("like", F.lit(True)).withColumn("was", F.col("t"))
+    near = similar_texts(x.where("r is null").select("block", "t").distinct(), least)
+    alike = x.where("r is null").join(near.select("block", F.col("a").alias("t"), F.col("b").alias("was")), ["block", "t"]).withColumn("like", F.lit(False))
+    looks = same.unionByName(alike.select(*same.columns))
+    kinds = F.when(F.col("r").isNotNull(), F.array(F.struct(F.lit("ref").alias("way"), own("r").alias("kr")), *[F.struct(F.lit(w).alias("way"), F.lit("0").alias("kr")) for w in ("text", "place")]))
+    kinds = kinds.otherwise(F.array(*[F.struct(F.lit(w).alias("way"), F.lit(k).alias("kr")) for w in ("text", "place") for k in ("0", "1")]))
+    looks = looks.withColumn("k", F.explode(kinds)).select("id", "s", "block", "like", F.col("was").alias("t"), "b", "m", "p", "r", "k.way", "k.kr").where("like or kr = '0'")
+    looks = with_key(looks.withColumn("kb", F.explode(seek("b"))).withColumn("km", F.explode(seek("m"))))
+    met = looks.join(table, "key")
+    earlier = F.when((F.col("way") != "text") | ~F.col("first_s").eqNullSafe(F.col("s")), F.col("first_id")).otherwise(F.col("other"))
+    one_ref = F.when(F.col("r").isNull(), F.col("kr") == "1").otherwise(F.col("kr") == "0")
+    proof = (F.col("way") == "ref") | (F.col("like") & F.col("kb").startswith("=") & ((F.col("way") == "text") | one_ref))
+    # a row without a balance looks for any, so equal balances have to be looked for by their own key
+    met = met.withColumn("of", earlier).where(F.col("of") < F.col("id")).groupBy("id").agg(F.min(F.when(proof, F.col("of"))).alias("proven"), F.min("of").alias("any"))
+    return met.select("id", F.coalesce("proven", "any").alias("of_id"), F.when(F.col("proven").isNotNull(), "PROVEN").otherwise("PROBABLE").alias("verdict"))
 
 
 def processing_summary(statements: DataFrame, lines: DataFrame, duplicates: DataFrame, issues: DataFrame, key: str, line_id: str) -> DataFrame:

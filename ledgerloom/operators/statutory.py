@@ -13,7 +13,7 @@ BUYER, SUPPLIER = r"(?i)\b(buyer|bill(ed)? to|recipient|customer|consignee)\b",
 def repair_gstin(c: Column) -> Column:
     """Misread characters put right by position; the check digit is never made up."""
     x = F.upper(F.regexp_replace(c, r"[\s\-]", ""))
-    digits, letters = (lambda y: F.translate(y, *ids.TO_DIGIT)), (lambda y: F.translate(y, *ids.TO_LETTER))
+    digits, letters = (lambda y: F.translate(y, *ids.TAX_DIGIT)), (lambda y: F.translate(y, *ids.TO_LETTER))
     fixed = F.concat(digits(F.substring(x, 1, 2)), letters(F.substring(x, 3, 5)), digits(F.substring(x, 8, 4)), letters(F.substring(x, 12, 1)), F.substring(x, 13, 1), F.when(F.substring(x, 14, 1) == "2", "Z").otherwise(F.substring(x, 14, 1)), F.substring(x, 15, 1))
     return F.when((F.length(x) == 15) & ids.verify_gstin(fixed), fixed).otherwise(x)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import identifiers, money
+from ledgerloom.functions import dates, identifiers, money
 from ledgerloom.operators import ledger
+from ledgerloom.plans import cells_sql
 from ledgerloom.plans.registry import Registry
-from ledgerloom.session import table
+from ledgerloom.session import table, written
 
 R = Registry()
 
@@ -160,36 +161,52 @@ def intraday_reorder(spark: SparkSession, d: str) -> DataFrame:
     return ledger.intraday_reorder(base(spark, d), ["account_key", "day"], "seq", "debit", "credit", "bal").select("seq", "position")
 
 
-_KEY = "trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g'))"
-_DUP = _LINES + f""", b AS (SELECT row_id AS id, statement_id, date, debit, credit, bal, {_KEY} AS t, CASE WHEN trim(reference_number) <> '' THEN upper(trim(reference_number)) END AS r FROM s),
-f AS (SELECT *, CASE WHEN r IS NOT NULL THEN first_value(id) OVER (PARTITION BY date, debit, credit, r ORDER BY id) END AS pr, first_value(id) OVER w AS fid, first_value(r) OVER w AS fr,
-  first_value(bal) OVER w AS fb, first_value(statement_id) OVER w AS fs FROM b WINDOW w AS (PARTITION BY date, debit, credit, t ORDER BY id)),
-v AS (SELECT *, fid <> id AND NOT coalesce(r <> fr, FALSE) AND NOT coalesce(abs(bal - fb) >= 0.01, FALSE) AND statement_id IS DISTINCT FROM fs AS pair FROM f)
+#: Every pair of rows of a block, by the rules; the operator makes no pairs.
+_DUP = _LINES + f""", x AS (SELECT s.row_id AS id, s.statement_id AS st, s.row_index AS sq, h.account_key, coalesce(h.currency, 'INR') AS cur, {cells_sql.day('s.date')} AS day, {cells_sql.time('r.time')} AS tm, s.debit, s.credit, s.bal,
+  {cells_sql.words('s.description')} AS t, CASE WHEN trim(s.reference_number) <> '' THEN upper(trim(s.reference_number)) END AS r FROM s JOIN statement_rows r USING (row_id) LEFT JOIN statements h ON h.statement_id = s.statement_id),
+y AS (SELECT * FROM x WHERE day IS NOT NULL AND coalesce(debit, credit) IS NOT NULL),
+q AS (SELECT b.id, a.id AS of_id, coalesce(a.r = b.r, FALSE) AS by_ref, a.t = b.t AS by_text, coalesce(a.bal = b.bal, FALSE) AS by_bal, a.st IS DISTINCT FROM b.st AS apart, (a.r IS NULL) <> (b.r IS NULL) AS one_ref, a.r IS NULL AND b.r IS NULL AS no_ref, a.t AS ta, b.t AS tb
+  FROM y a JOIN y b ON a.account_key IS NOT DISTINCT FROM b.account_key AND a.day = b.day AND a.cur = b.cur AND a.debit IS NOT DISTINCT FROM b.debit AND a.credit IS NOT DISTINCT FROM b.credit AND a.id < b.id
+  WHERE coalesce(a.tm = b.tm, TRUE) AND coalesce(a.r = b.r, TRUE) AND coalesce(a.bal = b.bal, TRUE) AND (a.st IS DISTINCT FROM b.st OR a.sq IS NOT DISTINCT FROM b.sq OR coalesce(a.r = b.r, FALSE))),
+z AS (SELECT *, by_ref OR (by_text AND by_bal AND (apart OR one_ref)) AS proof, CASE WHEN NOT by_ref AND NOT by_text AND no_ref AND ta <> '' AND tb <> '' THEN 1 - {cells_sql.distance('ta', 'tb')} / greatest(length(ta), length(tb))::DOUBLE >= 0.8 ELSE FALSE END AS near FROM q),
+v AS (SELECT id, min(of_id) FILTER (proof) AS proven, min(of_id) FILTER (proof OR by_text OR near) AS any_of FROM z GROUP BY id)
 """
 
 
-@R.add(_DUP + """SELECT id, CASE WHEN pr <> id THEN pr ELSE fid END AS of_id, CASE WHEN pr <> id THEN 'PROVEN' WHEN pair AND bal = fb THEN 'PROVEN' ELSE 'PROBABLE' END AS verdict FROM v WHERE coalesce(pr <> id, FALSE) OR pair""")
+def dated_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Statement rows with account, currency, day and time, those with a day and an amount."""
+    t = table(spark, d, "statement_rows").select("row_id", dates.parse_date("date").alias("day"), dates.parse_time("time").alias("clock"))
+    heads = table(spark, d, "statements").select("statement_id", "account_key", F.coalesce("currency", F.lit("INR")).alias("currency"))
+    # written, as every use would parse the amounts again, in one expression too long to be compiled
+    x = written(lines(spark, d)).join(t, "row_id").join(heads, "statement_id", "left")
+    return x.where(F.col("day").isNotNull() & F.coalesce("debit", "credit").isNotNull())
+
+
+def duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.duplicate_transactions(dated_lines(spark, d), "row_id", ["account_key", "day", "currency", "debit", "credit"], "reference_number", "bal", "statement_id", "row_index", "description", "clock")
+
+
+@R.add(_DUP + "SELECT id, coalesce(proven, any_of) AS of_id, CASE WHEN proven IS NOT NULL THEN 'PROVEN' ELSE 'PROBABLE' END AS verdict FROM v WHERE any_of IS NOT NULL")
 def dedup_transactions(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.duplicate_transactions(lines(spark, d), "row_id", ["date", "debit", "credit"], "reference_number", "bal", "statement_id", "row_index", "description")
+    return duplicates(spark, d)
 
 
-@R.add(_DUP + """, a AS (SELECT v.*, t.account_key FROM v JOIN statements t USING (statement_id))
-SELECT account_key, count(*) AS duplicates FROM a WHERE coalesce(pr <> id, FALSE) OR pair GROUP BY account_key""")
+@R.add(_DUP + """SELECT s.account_key, count(*) AS duplicates FROM v JOIN statement_rows r ON r.row_id = v.id JOIN statements s USING (statement_id) WHERE any_of IS NOT NULL GROUP BY 1""")
 def cross_statement_dedup(spark: SparkSession, d: str) -> DataFrame:
-    dup = ledger.duplicate_transactions(lines(spark, d), "row_id", ["date", "debit", "credit"], "reference_number", "bal", "statement_id", "row_index", "description")
+    dup = duplicates(spark, d)
     where = lines(spark, d).select(F.col("row_id").alias("id"), "statement_id").join(table(spark, d, "statements").select("statement_id", "account_key"), "statement_id")
     return dup.join(where, "id").groupBy("account_key").agg(F.count(F.lit(1)).alias("duplicates"))
 
 
 @R.add(_DUP + """, sc AS (SELECT statement_id, count(*) AS scanned, count(*) FILTER (coalesce(debit, credit) IS NOT NULL) AS good FROM s GROUP BY 1),
-du AS (SELECT statement_id, count(*) AS duplicates FROM v WHERE coalesce(pr <> id, FALSE) OR pair GROUP BY 1),
-x AS (SELECT t.statement_id, coalesce(scanned, 0) AS scanned, coalesce(good, 0) AS good, coalesce(duplicates, 0) AS duplicates FROM statements t LEFT JOIN sc USING (statement_id) LEFT JOIN du USING (statement_id)),
-y AS (SELECT *, good - least(duplicates, good) AS success FROM x)
-SELECT y.statement_id, scanned, success, duplicates, greatest(0, scanned - success - duplicates) AS failed, CASE WHEN t.closing_balance IS NULL THEN 'MISSING_CLOSING_BALANCE' ELSE 'ALL_CLEAR' END AS issues
-FROM y JOIN statements t USING (statement_id)""")
+du AS (SELECT r.statement_id, count(*) AS duplicates FROM v JOIN statement_rows r ON r.row_id = v.id WHERE any_of IS NOT NULL GROUP BY 1),
+w1 AS (SELECT t.statement_id, coalesce(scanned, 0) AS scanned, coalesce(good, 0) AS good, coalesce(duplicates, 0) AS duplicates FROM statements t LEFT JOIN sc USING (statement_id) LEFT JOIN du USING (statement_id)),
+w2 AS (SELECT *, good - least(duplicates, good) AS success FROM w1)
+SELECT w2.statement_id, scanned, success, duplicates, greatest(0, scanned - success - duplicates) AS failed, CASE WHEN t.closing_balance IS NULL THEN 'MISSING_CLOSING_BALANCE' ELSE 'ALL_CLEAR' END AS issues
+FROM w2 JOIN statements t USING (statement_id)""")
 def sink_processing_summary(spark: SparkSession, d: str) -> DataFrame:
     s, x = table(spark, d, "statements"), lines(spark, d).withColumn("ok", F.coalesce("debit", "credit").isNotNull())
-    dup = ledger.duplicate_transactions(lines(spark, d), "row_id", ["date", "debit", "credit"], "reference_number", "bal", "statement_id", "row_index", "description")
+    dup = duplicates(spark, d)
     issues = s.where("closing_balance is null").select("statement_id", F.lit("MISSING_CLOSING_BALANCE").alias("issue"))
     return ledger.processing_summary(s, x, dup, issues, "statement_id", "row_id")
 
@@ -211,13 +228,20 @@ def sink_passbook(spark: SparkSession, d: str) -> DataFrame:
     return t.select("transaction_id", "account_key", "description", money.indian_format(F.coalesce("debit", "credit")).alias("amount"), F.when(F.col("debit").isNotNull(), "Dr").otherwise("Cr").alias("side"))
 
 
-@R.add("""SELECT account_key, transaction_id, CAST(coalesce(debit, 0) AS DOUBLE) AS debit, CAST(coalesce(credit, 0) AS DOUBLE) AS credit,
+@R.add(r"""SELECT account_key, transaction_id, source_input_id, transaction_mode, coalesce(currency, 'INR') AS currency, description, transaction_date, CAST(CAST(coalesce(debit, 0) AS DECIMAL(18,2)) AS VARCHAR) AS debit, CAST(CAST(coalesce(credit, 0) AS DECIMAL(18,2)) AS VARCHAR) AS credit,
+ CAST(CAST(coalesce(credit, 0) - coalesce(debit, 0) AS DECIMAL(18,2)) AS VARCHAR) AS net, CASE WHEN debit IS NOT NULL THEN 'DEBIT' WHEN credit IS NOT NULL THEN 'CREDIT' END AS direction, CAST(CAST(loaded_at AS DATE) AS VARCHAR) AS loaded_on, to_json({'source': source_input_id, 'raw_balance': balance}) AS provenance,
  substr(sha256(lower(trim(account_key)) || ':' || lower(trim(CAST(transaction_id AS VARCHAR)))), 1, 16) AS transaction_hash FROM transactions""")
 def sink_ledger_parquet(spark: SparkSession, d: str) -> DataFrame:
     """The columns of the ledger file, with its row digests."""
     t = table(spark, d, "transactions")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
-    return t.select("account_key", "transaction_id", zero("debit"), zero("credit"), identifiers.fingerprint(F.col("account_key"), F.col("transaction_id").cast("string")).alias("transaction_hash"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,2)")
+    return t.select(
+        "account_key", "transaction_id", "source_input_id", "transaction_mode", F.coalesce("currency", F.lit("INR")).alias("currency"), "description", "transaction_date",
+        zero("debit").cast("string").alias("debit"), zero("credit").cast("string").alias("credit"), (zero("credit") - zero("debit")).cast("decimal(18,2)").cast("string").alias("net"),
+        F.when(F.col("debit").isNotNull(), "DEBIT").when(F.col("credit").isNotNull(), "CREDIT").alias("direction"), F.to_date("loaded_at").cast("string").alias("loaded_on"),
+        F.to_json(F.struct(F.col("source_input_id").alias("source"), F.col("balance").alias("raw_balance")), {"ignoreNullFields": "false"}).alias("provenance"),
+        identifiers.fingerprint(F.col("account_key"), F.col("transaction_id").cast("string")).alias("transaction_hash"),
+    )
 
 
 @R.add("""SELECT t.transaction_id, s.statement_id FROM transactions t LEFT JOIN (SELECT account_key, min(statement_id) AS statement_id FROM statements GROUP BY 1) s USING (account_key)""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates, identifiers, legacy, protect
 from ledgerloom.functions.text import any_script
 from ledgerloom.operators import rows, statutory
+from ledgerloom.plans import cells_sql
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import table
 from ledgerloom.sources import files
@@ -28,28 +29,13 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-#: Cells as they are tried in turn, and the formats.
-_CELL = r"trim(trim(replace(replace(trim({c}), chr(10), ''), chr(160), ' ')), chr(39) || chr(34))"
-_LONG, _SHORT = (", ".join(f"'{f}'" for f in dates.DATES if y in f) for y in ("%Y", "%y"))
-_FIRST = "regexp_extract(x, '^[^ \\t\\r\\f]+')"
-
-
-def _tried(*cells: str) -> str:
-    """Years of four digits and of two apart, as SQL takes either for the other."""
-    return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({c}, '[0-9]{{4}}') THEN try_strptime({c}, [{_LONG}]) ELSE try_strptime({c}, [{_SHORT}]) END" for c in cells) + ")"
-
-
-@R.add(rf"""WITH t AS (SELECT row_id, {_CELL.format(c='value_date')} AS x FROM statement_rows)
-SELECT row_id, CAST(CAST(coalesce(CASE WHEN regexp_matches(x, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ].*)?$') THEN TRY_CAST(left(x, 10) AS TIMESTAMP) WHEN regexp_matches(x, '^[0-9]{{8}}$') THEN try_strptime(x, '%Y%m%d') END,
-  {_tried('x', "translate(x, '.-', '//')")}, CASE WHEN contains(x, ':') THEN {_tried(_FIRST, f"translate({_FIRST}, '.-', '//')")} END) AS DATE) AS VARCHAR) AS day FROM t""")
+@R.add(f"SELECT row_id, {cells_sql.day('value_date')} AS day FROM statement_rows")
 def parse_date(spark: SparkSession, d: str) -> DataFrame:
     """ISO first, then day before month, in ten formats."""
     return table(spark, d, "statement_rows").select("row_id", dates.parse_date("value_date").alias("day"))
 
 
-@R.add(r"""WITH t AS (SELECT row_id, trim(time) AS x, regexp_extract(trim(time), '^((0?[1-9]|1[0-2]):[0-5][0-9](:[0-5][0-9])?)(\.[0-9]+)? ?([AaPp][Mm])([^A-Za-z]|$)', ['a', 'b', 'c', 'd', 'e', 'f']) AS m FROM statement_rows)
-SELECT row_id, coalesce(strftime(try_strptime(x, ['%H:%M:%S', '%I:%M:%S %p', '%H:%M', '%I:%M %p']), '%H:%M:%S'), strftime(try_strptime(regexp_extract(x, '[^ \t]+$'), ['%H:%M:%S', '%H:%M']), '%H:%M:%S'),
-  CASE WHEN m.e <> '' THEN strftime(try_strptime(m.a || ' ' || m.e, ['%I:%M:%S %p', '%I:%M %p']), '%H:%M:%S') END, CASE WHEN regexp_matches(x, '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]') THEN left(x, 8) END) AS time FROM t""")
+@R.add(f"SELECT row_id, {cells_sql.time('time')} AS time FROM statement_rows")
 def parse_time(spark: SparkSession, d: str) -> DataFrame:
     """Times of 24 and 12 hours."""
     return table(spark, d, "statement_rows").select("row_id", dates.parse_time("time").alias("time"))
@@ -106,10 +92,14 @@ def union_stage_keys(spark: SparkSession, d: str) -> DataFrame:
     return e.where("user_id % 2 = 0").select("event_type").union(e.where("user_id % 2 = 1").select("event_type")).distinct()
 
 
-@R.add("SELECT detection_id, array_to_string(list_sort(list_distinct(list_concat(reasons, ['keyword hit']))), ',') AS reasons FROM detections")
+_MERGED = "list_concat(reasons, ['keyword hit', 'manual'])"
+
+
+@R.add(f"""SELECT detection_id, array_to_string(list_transform(list_filter(list_zip({_MERGED}, range(1, len({_MERGED}) + 1)), lambda z: list_position({_MERGED}, z[1]) = z[2]), lambda z: z[1]), ',') AS reasons FROM detections""")
 def plan_stage_merge(spark: SparkSession, d: str) -> DataFrame:
-    both = F.array_distinct(F.concat("reasons", F.array(F.lit("keyword hit"))))
-    return table(spark, d, "detections").select("detection_id", F.array_join(F.array_sort(both), ",").alias("reasons"))
+    """Stages of two plans, each once, in the order of their first place."""
+    both = F.array_distinct(F.concat("reasons", F.array(F.lit("keyword hit"), F.lit("manual"))))
+    return table(spark, d, "detections").select("detection_id", F.array_join(both, ",").alias("reasons"))
 
 
 @R.add("SELECT detection_id, len(list_intersect(reasons, ['keyword hit', 'ifsc found'])) AS hits FROM detections")
@@ -198,11 +188,11 @@ def clean_legal_text(spark: SparkSession, d: str) -> DataFrame:
 _COURTS = ("Supreme Court", "High Court", "Appellate Tribunal", "appellate tribunal", "adjudicating authority")
 
 
-@R.add("SELECT doc_id, CASE " + " ".join(f"WHEN contains(left(text, 4000), '{c}') THEN '{c}'" for c in _COURTS) + " END AS court FROM documents")
+@R.add("SELECT doc_id, CASE " + " ".join(f"WHEN contains(text, '{c}') THEN '{c}'" for c in _COURTS) + " END AS court FROM documents")
 def court_name(spark: SparkSession, d: str) -> DataFrame:
-    head, out = F.substring("text", 1, 4000), F.lit(None).cast("string")
+    out = F.lit(None).cast("string")
     for c in reversed(_COURTS):
-        out = F.when(head.contains(c), c).otherwise(out)
+        out = F.when(F.col("text").contains(c), c).otherwise(out)
     return docs(spark, d).select("doc_id", out.alias("court"))
 
 
@@ -308,7 +298,7 @@ def sink_statutory_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z]{5}[0-9]{4}[A-Z]\b')) AS id FROM documents), m AS (SELECT doc_id, id, translate(id, '01', 'OI') AS bad FROM t),
-f AS (SELECT *, translate(left(bad, 5), '01582', 'OISBZ') || translate(substr(bad, 6, 4), 'ODQISBZ', '0001582') || translate(right(bad, 1), '01582', 'OISBZ') AS x FROM m) SELECT doc_id, bad, CASE WHEN regexp_matches(x, '^[A-Z]{3}[ABCFGHJLPT][A-Z][0-9]{4}[A-Z]$') THEN x ELSE bad END AS repaired FROM f""")
+f AS (SELECT *, translate(left(bad, 5), '01582', 'OISBZ') || translate(substr(bad, 6, 4), 'OILSBZ', '011582') || translate(right(bad, 1), '01582', 'OISBZ') AS x FROM m) SELECT doc_id, bad, CASE WHEN regexp_matches(x, '^[A-Z]{3}[ABCFGHJLPT][A-Z][0-9]{4}[A-Z]$') THEN x ELSE bad END AS repaired FROM f""")
 def repair_pan(spark: SparkSession, d: str) -> DataFrame:
     x = docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"), F.lit(1))).alias("id")).withColumn("bad", F.translate("id", "01", "OI"))
     return x.select("doc_id", "bad", identifiers.repair_pan(F.col("bad")).alias("repaired"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import identifiers, text
 from ledgerloom.operators import layout, sentences
+from ledgerloom.plans import cells_sql
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import table
 
@@ -53,7 +54,7 @@ def critical_span_class(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "text_spans").select("span_id", text.critical_class(F.col("text")).alias("kind"))
 
 
-_LABEL = r"(?i)^(gstin|gst|pan|ifsc|tan|cin|cnr|a/c|account|ref|reference|utr|txn|date|amount|total|balance)[: #.-]*$"
+_LABEL = text.LABEL
 
 
 @R.add(f"""SELECT span_id, coalesce(regexp_matches(trim(lag(text) OVER (PARTITION BY doc_id, page_number ORDER BY span_id)), '{_LABEL}'), FALSE) AS anchored FROM text_spans""")
@@ -108,8 +109,12 @@ def usable_document(spark: SparkSession, d: str) -> DataFrame:
 def _facts_sql(c: str) -> str:
     """Each kind of fact from what the kinds before it left over, as in the expression."""
     rest, parts = f"translate({c}, '०१२३४५६७८९', '0123456789')", []
-    for _, p in text.FACTS:
-        parts.append(f"list_transform(regexp_extract_all({rest}, '({p})', 1), lambda t: lower(regexp_replace(t, ',| ', '', 'g')))")
+    for kind, p in text.FACTS:
+        plain = f"list_transform(regexp_extract_all({rest}, '({p})', 1), lambda t: lower(regexp_replace(t, ',| ', '', 'g')))"
+        if kind == "money":
+            signs = f"list_transform({plain}, lambda t: regexp_replace(regexp_replace(t, '[0-9.-]+$', ''), '^(₹|rs)$', 'inr'))"
+            plain = f"{signs} || list_transform({plain}, lambda t: regexp_replace(t, '^[^0-9-]+', ''))"
+        parts.append(plain)
         rest = f"regexp_replace({rest}, '{p}', ' ', 'g')"
     return " || ".join(parts)
 
@@ -137,18 +142,15 @@ def factual_equivalence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "translations").select("result_id", ((n > F.length("translated_text") * F.lit(0.35)) & (F.col("direction") == "hi-en")).alias("residue"))
 
 
-#: The distance counts bytes in SQL, so each character becomes one byte, by its place among all characters of both names.
-_ONE = "list_aggregate(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: chr(CAST(31 + list_position(abc, c) AS INTEGER))), 'string_agg', '')"
-
-
-@R.add(rf"""WITH t AS (SELECT detection_id, nfc_normalize(lower(bank_name)) AS x, nfc_normalize(bank_name) AS y FROM detections), a AS (SELECT *, list_distinct(regexp_extract_all(x || y, '(?s).')) AS abc FROM t)
-SELECT detection_id, CASE WHEN length(x) = 0 THEN CASE WHEN length(y) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(levenshtein({_ONE.format(x='x')}, {_ONE.format(x='y')}) AS DOUBLE) / length(x) END AS cer FROM a""")
+@R.add(f"""WITH t AS (SELECT detection_id, nfc_normalize(lower(bank_name)) AS x, nfc_normalize(bank_name) AS y FROM detections)
+SELECT detection_id, CASE WHEN length(x) = 0 THEN CASE WHEN length(y) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST({cells_sql.distance('x', 'y')} AS DOUBLE) / length(x) END AS cer FROM t""")
 def cer(spark: SparkSession, d: str) -> DataFrame:
     """How far typed names are from their form in small letters."""
     return table(spark, d, "detections").select("detection_id", text.character_error_rate(F.lower("bank_name"), F.col("bank_name")).alias("cer"))
 
 
-@R.add()
+@R.add(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(Section|Rule|Article|Order) [0-9]+[A-Z]?') AS f FROM documents)
+SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(f, range(1, len(f) + 1)), lambda z: list_position(f, z[1]) = z[2]), lambda z: z[1]), '|') AS refs FROM t""")
 def statutory_refs(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.array_join(text.citations(F.col("text")), "|").alias("refs"))
 
@@ -171,7 +173,7 @@ def gstin_check_digit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][0-9A-Z]Z[0-9A-Z]\b')) AS id FROM documents)
-SELECT doc_id, id, (CAST(left(id, 2) AS INT) BETWEEN 1 AND 38 OR left(id, 2) IN ('97', '99')) AND regexp_matches(substr(id, 3, 10), '^[A-Z]{{3}}[ABCFGHJLPT][A-Z][0-9]{{4}}[A-Z]$') AND right(id, 1) = {_CHECK} AS valid FROM t""")
+SELECT doc_id, id, (CAST(left(id, 2) AS INT) BETWEEN 1 AND 38 OR left(id, 2) IN ('97', '99')) AND regexp_matches(substr(id, 3, 10), '^[A-Z]{{3}}[ABCFGHJLPT][A-Z][0-9]{{4}}[A-Z]$') AND substr(id, 13, 1) <> '0' AND right(id, 1) = {_CHECK} AS valid FROM t""")
 def verify_gstin(spark: SparkSession, d: str) -> DataFrame:
     ids = F.regexp_extract_all("text", F.lit(r"\b([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z])\b"), F.lit(1))
     return docs(spark, d).select("doc_id", F.explode(ids).alias("id")).withColumn("valid", identifiers.verify_gstin(F.col("id")))
@@ -184,13 +186,14 @@ def verify_cin(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.explode(ids).alias("id")).withColumn("valid", identifiers.verify_cin(F.col("id")))
 
 
-@R.add(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z]{4}[0-9]{12}\b')) AS id FROM documents) SELECT doc_id, id FROM t""")
+@R.add(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{16}')) AS id FROM documents) SELECT doc_id, id, regexp_matches(upper(id), '^[A-Z]{4}[0-9]{12}$') AS valid FROM t""")
 def verify_cnr(spark: SparkSession, d: str) -> DataFrame:
-    ids = F.regexp_extract_all("text", F.lit(r"\b([A-Z]{4}[0-9]{12})\b"), F.lit(1))
-    return docs(spark, d).select("doc_id", F.explode(ids).alias("id")).where(identifiers.verify_cnr(F.col("id")))
+    """Every run of sixteen letters and digits, and whether it is a case number."""
+    ids = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9]{16})"), F.lit(1))
+    return docs(spark, d).select("doc_id", F.explode(ids).alias("id")).withColumn("valid", identifiers.verify_cnr(F.col("id")))
 
 
-@R.add(r"""SELECT row_id, regexp_matches(trim(reference_number), '^[0-9]{8}$') AS din, regexp_matches(upper(regexp_replace(reference_number, '[\s\-_:/]', '', 'g')), '^[A-Z]{4}[0-9]{5}[A-Z]$') AS tan FROM statement_rows""")
+@R.add(r"""SELECT row_id, regexp_matches(trim(reference_number), '^[0-9]{8}$') AS din, regexp_matches(upper(trim(reference_number)), '^[A-Z]{4}[0-9]{5}[A-Z]$') AS tan FROM statement_rows""")
 def verify_tan_din(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("reference_number")
     return table(spark, d, "statement_rows").select("row_id", identifiers.verify_din(c).alias("din"), identifiers.verify_tan(c).alias("tan"))
@@ -304,12 +307,12 @@ def input_format_groups(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).groupBy(F.coalesce("detected_type", F.lit("unknown")).alias("format")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-_STATUTORY = r"(?i)gstin|income tax|pan\b|assessment|tribunal|cin\b"
+_STATUTORY = r"(?i)gstin|income tax|(?-i:PAN|CIN)|assessment|tribunal"
 
 
-@R.add(f"""WITH t AS (SELECT doc_id, len(regexp_extract_all(left(text, 8192), '{_STATUTORY}')) AS n FROM documents) SELECT doc_id, n AS hits, n > 0 AS statutory, CASE WHEN n > 0 THEN least(0.6 + 0.05 * n, 0.95) ELSE 0.0 END::DOUBLE AS confidence FROM t""")
+@R.add(f"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '{_STATUTORY}')) AS n FROM documents) SELECT doc_id, n AS hits, n > 0 AS statutory, CASE WHEN n > 0 THEN least(0.6 + 0.05 * n, 0.95) ELSE 0.0 END::DOUBLE AS confidence FROM t""")
 def statutory_doc_detect(spark: SparkSession, d: str) -> DataFrame:
-    n = F.regexp_count(F.substring("text", 1, 8192), F.lit(_STATUTORY))
+    n = F.regexp_count("text", F.lit(_STATUTORY))
     t = docs(spark, d).select("doc_id", n.cast("long").alias("hits"))
     return t.select("doc_id", "hits", (F.col("hits") > 0).alias("statutory"), F.when(F.col("hits") > 0, F.least(F.lit(0.6) + F.lit(0.05) * F.col("hits"), F.lit(0.95))).otherwise(0.0).alias("confidence"))
 
@@ -361,9 +364,11 @@ def anti_consumed_spans(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "text_spans").join(table(spark, d, "detections").select("doc_id"), "doc_id", "left_anti").select("span_id")
 
 
-@R.add("SELECT span_id FROM text_spans s WHERE EXISTS (SELECT 1 FROM detections d WHERE d.doc_id = s.doc_id AND d.is_bank_statement)")
+@R.add("SELECT doc_id FROM documents x WHERE NOT EXISTS (SELECT 1 FROM detections d WHERE d.doc_id = x.doc_id AND NOT d.is_bank_statement AND d.confidence_score < 0.5)")
 def semi_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "text_spans").join(table(spark, d, "detections").where("is_bank_statement").select("doc_id"), "doc_id", "left_semi").select("span_id")
+    """Documents still to be worked on: those that an unsure refusal has made terminal are kept out."""
+    terminal = table(spark, d, "detections").where("not is_bank_statement and confidence_score < 0.5").select("doc_id")
+    return docs(spark, d).join(terminal, "doc_id", "left_anti").select("doc_id")
 
 
 @R.add("SELECT DISTINCT lower(trim(source_input_id)) AS path FROM documents WHERE source_input_id IS NOT NULL")
