@@ -139,11 +139,6 @@ def stream_active_spans(spark: SparkSession, d: str) -> DataFrame:
     return streams.last_state(spark, f"{d}/events.parquet")
 
 
-@R.add("""SELECT 'run' AS name, count(*) AS n, CAST(min(event_id) AS BIGINT) AS first_id, CAST(max(event_id) AS BIGINT) AS last_id FROM events""")
-def sink_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")).select(F.lit("run").alias("name"), "n", "first_id", "last_id")
-
-
 @R.add()
 def row_classify(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "statement_rows")

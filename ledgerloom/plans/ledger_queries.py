@@ -250,21 +250,6 @@ def join_stmt_txn(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "transactions").select("transaction_id", "account_key").join(first, "account_key", "left").select("transaction_id", "statement_id")
 
 
-@R.add("""WITH i AS (SELECT account_key, status FROM statements)
-SELECT account_key, CASE WHEN max(CASE WHEN status = 'INVALID' THEN 3 WHEN status = 'REVIEW' THEN 2 ELSE 1 END) = 3 THEN 'INVALID' WHEN max(CASE WHEN status = 'INVALID' THEN 3 WHEN status = 'REVIEW' THEN 2 ELSE 1 END) = 2 THEN 'WARNING' ELSE 'VALID' END AS status,
-count(DISTINCT status) AS kinds FROM i GROUP BY account_key""")
-def issue_dedup(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.max(F.when(F.col("status") == "INVALID", 3).when(F.col("status") == "REVIEW", 2).otherwise(1))
-    x = table(spark, d, "statements").groupBy("account_key").agg(rank.alias("r"), F.count_distinct("status").alias("kinds"))
-    return x.select("account_key", F.when(F.col("r") == 3, "INVALID").when(F.col("r") == 2, "WARNING").otherwise("VALID").alias("status"), "kinds")
-
-
-@R.add("""SELECT account_key, CASE WHEN count(*) FILTER (debit IS NOT NULL OR credit IS NOT NULL) = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS outcome, count(*) AS n FROM transactions GROUP BY 1""")
-def join_provenance_docs(spark: SparkSession, d: str) -> DataFrame:
-    n = F.count_if(F.col("debit").isNotNull() | F.col("credit").isNotNull())
-    return table(spark, d, "transactions").groupBy("account_key").agg(F.when(n == 0, "FAILED").otherwise("SUCCESS").alias("outcome"), F.count(F.lit(1)).alias("n"))
-
-
 @R.add(_LINES + """ SELECT row_id, CASE WHEN debit IS NULL AND credit IS NULL THEN 'MISSING_AMOUNT' WHEN debit > 0 AND credit > 0 THEN 'DUAL_DIRECTION_AMOUNT' END AS issue,
 CASE WHEN debit IS NULL AND credit IS NULL THEN 'INVALID' WHEN debit > 0 AND credit > 0 THEN 'WARNING' ELSE 'VALID' END AS status FROM s""")
 def txn_validate(spark: SparkSession, d: str) -> DataFrame:

@@ -347,11 +347,6 @@ def join_detect_profile(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", top.cast("long").alias("score"), out.alias("profile"))
 
 
-@R.add(r"""SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[redacted]', 'g')) AS digest FROM documents""")
-def redact_text(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.md5(F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[redacted]")).alias("digest"))
-
-
 @R.add("SELECT span_id, " + _swap(_swap("text", _EDGE + "O([0-9])", r"\10\2"), "([0-9])[lI]" + _CLOSE, r"\11\2") + " AS repaired FROM text_spans")
 def critical_repair(spark: SparkSession, d: str) -> DataFrame:
     """Letters inside numbers that scanners take for digits, in every span."""
@@ -359,20 +354,6 @@ def critical_repair(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "text_spans").select("span_id", x.alias("repaired"))
 
 
-@R.add("""SELECT span_id, floor(bbox.y0 / 60)::BIGINT AS paragraph, dense_rank() OVER (PARTITION BY doc_id, page_number ORDER BY floor(bbox.y0 / 60)) AS nth FROM text_spans WHERE bbox IS NOT NULL""")
-def group_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "text_spans").where("bbox is not null").withColumn("paragraph", F.floor(F.col("bbox.y0") / 60))
-    return s.select("span_id", "paragraph", F.dense_rank().over(Window.partitionBy("doc_id", "page_number").orderBy("paragraph")).alias("nth"))
-
-
-@R.add("""WITH c AS (SELECT doc_id, page_number, bbox.x0 AS x, lag(bbox.x0) OVER (PARTITION BY doc_id, page_number ORDER BY bbox.x0) AS p FROM text_spans WHERE bbox IS NOT NULL) SELECT doc_id, page_number, count(*) FILTER (p IS NULL OR x - p > 60) AS columns FROM c GROUP BY 1, 2""")
-def detect_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of a page: left edges more than 60 apart."""
-    w = Window.partitionBy("doc_id", "page_number").orderBy("x")
-    s = table(spark, d, "text_spans").where("bbox is not null").select("doc_id", "page_number", F.col("bbox.x0").alias("x")).withColumn("p", F.lag("x").over(w))
-    return s.groupBy("doc_id", "page_number").agg(F.count_if(F.col("p").isNull() | (F.col("x") - F.col("p") > 60)).alias("columns"))
-
-
 @R.add("""WITH p AS (SELECT lower(trim(source_text)) AS s, lower(trim(translated_text)) AS t FROM translations WHERE source_text IS NOT NULL AND translated_text IS NOT NULL), c AS (SELECT s, t, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT md5(s) AS source, md5(t) AS target, n AS support, n / sum(n) OVER (PARTITION BY s)::DOUBLE AS confidence FROM c""")
 def mapping_miner(spark: SparkSession, d: str) -> DataFrame:
@@ -382,24 +363,6 @@ def mapping_miner(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.md5("s").alias("source"), F.md5("t").alias("target"), "support", (F.col("support") / F.sum("support").over(Window.partitionBy("s"))).alias("confidence"))
 
 
-@R.add("""WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS attempts, max(CASE WHEN event_type = 'purchase' THEN event_id END) AS ok, max(CASE WHEN event_type = 'error' THEN event_id END) AS bad FROM events GROUP BY 1)
-SELECT user_id, attempts, CASE WHEN attempts = 0 THEN 'NONE' WHEN ok > bad THEN 'RELEASED' WHEN attempts >= 3 THEN 'TERMINAL' WHEN attempts > 1 THEN 'RETRIED' ELSE 'QUARANTINED' END AS state FROM e""")
-def quarantine(spark: SparkSession, d: str) -> DataFrame:
-    """The state of each key by its failures and what came after."""
-    e = table(spark, d, "events")
-    x = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("attempts"), F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("ok"), F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("bad"))
-    state = F.when(F.col("attempts") == 0, "NONE").when(F.col("ok") > F.col("bad"), "RELEASED").when(F.col("attempts") >= 3, "TERMINAL").when(F.col("attempts") > 1, "RETRIED").otherwise("QUARANTINED")
-    return x.select("user_id", "attempts", state.alias("state"))
-
-
-@R.add("SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS filled FROM documents")
-def canonical_transform(spark: SparkSession, d: str) -> DataFrame:
-    """A function over each part of a nested document: here its lines."""
-    parts = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    n = lambda c: F.when(F.col("text").isNotNull(), F.size(c)).cast("long")
-    return docs(spark, d).select("doc_id", n(parts).alias("lines"), n(F.filter(parts, lambda x: x != "")).alias("filled"))
-
-
 @R.add()
 def profile_rank(spark: SparkSession, d: str) -> DataFrame:
     best = legacy.profile_rank(F.col("text"))[0]

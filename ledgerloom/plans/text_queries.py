@@ -317,17 +317,6 @@ def statutory_doc_detect(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", "hits", (F.col("hits") > 0).alias("statutory"), F.when(F.col("hits") > 0, F.least(F.lit(0.6) + F.lit(0.05) * F.col("hits"), F.lit(0.95))).otherwise(0.0).alias("confidence"))
 
 
-@R.add("""WITH c AS (SELECT bank_id, bank_name, upper(left(regexp_replace(bank_name, '^(The |Bank of )', ''), 4)) AS code FROM banks_catalog), p AS (SELECT code, min(bank_id) AS bank_id FROM c GROUP BY code)
-SELECT d.detection_id, coalesce(e.bank_id, p.bank_id) AS bank_id FROM detections d LEFT JOIN (SELECT bank_name, min(bank_id) AS bank_id FROM banks_catalog GROUP BY 1) e ON lower(trim(d.bank_name)) = lower(e.bank_name) LEFT JOIN p ON left(d.ifsc, 4) = p.code""")
-def join_bank_registry(spark: SparkSession, d: str) -> DataFrame:
-    """Exact name first, else the letters that the routing code begins with."""
-    c = table(spark, d, "banks_catalog")
-    codes = c.groupBy(F.upper(F.substring(F.regexp_replace("bank_name", "^(The |Bank of )", ""), 1, 4)).alias("code")).agg(F.min("bank_id").alias("by_code"))
-    names = c.groupBy(F.lower("bank_name").alias("key")).agg(F.min("bank_id").alias("by_name"))
-    x = table(spark, d, "detections").withColumn("key", F.lower(F.trim("bank_name"))).withColumn("code", F.substring("ifsc", 1, 4))
-    return x.join(names, "key", "left").join(codes, "code", "left").select("detection_id", F.coalesce("by_name", "by_code").alias("bank_id"))
-
-
 _ALIASES = (("date", "transaction date"), ("date", "txn date"), ("description", "narration"), ("description", "particulars"), ("debit", "withdrawal amt"), ("credit", "deposit amt"), ("balance", "closing balance"))
 
 
@@ -359,11 +348,6 @@ def join_court_template(spark: SparkSession, d: str) -> DataFrame:
     return t.join(t.where("k is not null").groupBy("k").agg(F.min("translated_text").alias("template")), "k", "left").select("result_id", "template")
 
 
-@R.add("SELECT span_id FROM text_spans s WHERE NOT EXISTS (SELECT 1 FROM detections d WHERE d.doc_id = s.doc_id)")
-def anti_consumed_spans(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "text_spans").join(table(spark, d, "detections").select("doc_id"), "doc_id", "left_anti").select("span_id")
-
-
 @R.add("SELECT doc_id FROM documents x WHERE NOT EXISTS (SELECT 1 FROM detections d WHERE d.doc_id = x.doc_id AND NOT d.is_bank_statement AND d.confidence_score < 0.5)")
 def semi_quarantine(spark: SparkSession, d: str) -> DataFrame:
     """Documents still to be worked on: those that an unsure refusal has made terminal are kept out."""
@@ -376,11 +360,6 @@ def path_dedup(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).where("source_input_id is not null").select(F.lower(F.trim("source_input_id")).alias("path")).distinct()
 
 
-@R.add("SELECT doc_id FROM documents UNION SELECT doc_id FROM text_spans")
-def union_tables(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id").union(table(spark, d, "text_spans").select("doc_id")).distinct()
-
-
 @R.add("""SELECT doc_id, coalesce(document_id, 'doc') || '_' || regexp_replace(lower(coalesce(detected_type, 'unknown')), '[^a-z0-9]+', '-', 'g') || '.json' AS name FROM documents""")
 def artifact_naming(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.concat(F.coalesce("document_id", F.lit("doc")), F.lit("_"), F.regexp_replace(F.lower(F.coalesce("detected_type", F.lit("unknown"))), "[^a-z0-9]+", "-"), F.lit(".json")).alias("name"))
