@@ -103,11 +103,6 @@ def warning_dedup(spark: SparkSession, d: str) -> DataFrame:
 _CODES = ("error", "view")
 
 
-@R.add("SELECT event_id FROM events WHERE event_type NOT IN ('error', 'view') AND NOT regexp_matches(upper(event_type), '(_FAILED|_SKIPPED|_MISMATCH)$')")
-def reviewable_warning(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where(~F.col("event_type").isin(*_CODES) & ~F.upper("event_type").rlike("(_FAILED|_SKIPPED|_MISMATCH)$")).select("event_id")
-
-
 @R.add("SELECT e.event_id, c.first_id FROM events e JOIN (SELECT md5(event_type || '|' || CAST(user_id AS VARCHAR)) AS key, min(event_id) AS first_id, min(ts) AS born FROM events GROUP BY 1) c ON md5(e.event_type || '|' || CAST(e.user_id AS VARCHAR)) = c.key WHERE e.ts < c.born + INTERVAL 24 HOUR")
 def cache_lookup_join(spark: SparkSession, d: str) -> DataFrame:
     """Hits on entries by digest within their lifetime of a day."""

@@ -319,18 +319,6 @@ def _profile_case() -> str:
     return ", ".join(f"('{p}', '{f}')" for p, fs in _PROFILES.items() for f in fs)
 
 
-@R.add(f"""WITH p(profile, field) AS (VALUES {_profile_case()}), f AS (SELECT DISTINCT file_id, canonical_field AS field FROM column_mappings WHERE canonical_field IS NOT NULL), s AS (SELECT file_id, profile, count(*) AS score FROM f JOIN p USING (field) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, profile) AS k FROM s) SELECT file_id, profile, score FROM r WHERE k = 1""")
-def join_profile_score(spark: SparkSession, d: str) -> DataFrame:
-    """Files against layouts by the fields they share, the best one; layouts are a fixed list."""
-    rows = [(p, f) for p, fs in _PROFILES.items() for f in fs]
-    p = F.broadcast(spark.createDataFrame(rows, "profile string, field string"))
-    f = table(spark, d, "column_mappings").where("canonical_field is not null").select("file_id", F.col("canonical_field").alias("field")).distinct()
-    s = f.join(p, "field").groupBy("file_id", "profile").agg(F.count(F.lit(1)).alias("score"))
-    first = F.min(F.struct((-F.col("score")).alias("s"), "profile"))
-    return s.groupBy("file_id").agg(first.alias("b")).select("file_id", F.col("b.profile").alias("profile"), (-F.col("b.s")).alias("score"))
-
-
 _WORDS = {"bank_letter": "account|balance|cheque", "tax_notice": "assessment|tax", "court_order": "tribunal|petitioner|order", "invoice": "invoice|gstin"}
 _HITS = {k: f"len(regexp_extract_all(lower(text), '{p}'))" for k, p in _WORDS.items()}
 
@@ -347,22 +335,6 @@ def join_detect_profile(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", top.cast("long").alias("score"), out.alias("profile"))
 
 
-@R.add("SELECT span_id, " + _swap(_swap("text", _EDGE + "O([0-9])", r"\10\2"), "([0-9])[lI]" + _CLOSE, r"\11\2") + " AS repaired FROM text_spans")
-def critical_repair(spark: SparkSession, d: str) -> DataFrame:
-    """Letters inside numbers that scanners take for digits, in every span."""
-    x = F.regexp_replace(F.regexp_replace("text", any_script(r"\bO([0-9])"), "0$1"), any_script(r"([0-9])[lI]\b"), "$11")
-    return table(spark, d, "text_spans").select("span_id", x.alias("repaired"))
-
-
-@R.add("""WITH p AS (SELECT lower(trim(source_text)) AS s, lower(trim(translated_text)) AS t FROM translations WHERE source_text IS NOT NULL AND translated_text IS NOT NULL), c AS (SELECT s, t, count(*) AS n FROM p GROUP BY 1, 2)
-SELECT md5(s) AS source, md5(t) AS target, n AS support, n / sum(n) OVER (PARTITION BY s)::DOUBLE AS confidence FROM c""")
-def mapping_miner(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with their support and their share of the source's pairs."""
-    p = table(spark, d, "translations").where("source_text is not null and translated_text is not null").select(F.lower(F.trim("source_text")).alias("s"), F.lower(F.trim("translated_text")).alias("t"))
-    c = p.groupBy("s", "t").agg(F.count(F.lit(1)).alias("support"))
-    return c.select(F.md5("s").alias("source"), F.md5("t").alias("target"), "support", (F.col("support") / F.sum("support").over(Window.partitionBy("s"))).alias("confidence"))
-
-
 @R.add()
 def profile_rank(spark: SparkSession, d: str) -> DataFrame:
     best = legacy.profile_rank(F.col("text"))[0]
@@ -387,12 +359,6 @@ def intake_discovery(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "fingerprint", "format")
 
 
-@R.add("""SELECT detection_id, CASE WHEN ifsc IS NULL THEN 'MISSING' WHEN regexp_matches(upper(trim(ifsc)), '^[A-Z]{4}0[A-Z0-9]{6}$') THEN 'VALID' ELSE 'INVALID' END AS verdict FROM detections""")
-def critical_validate(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("ifsc")
-    return table(spark, d, "detections").select("detection_id", F.when(c.isNull(), "MISSING").when(identifiers.verify_ifsc(c), "VALID").otherwise("INVALID").alias("verdict"))
-
-
 @R.add("""WITH l AS (SELECT row_id, statement_id, lag(row_id) OVER (PARTITION BY statement_id ORDER BY page_number, row_index, row_id) AS prev FROM statement_rows) SELECT row_id, prev FROM l""")
 def join_adjacent_rows(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("statement_id").orderBy("page_number", "row_index", "row_id")

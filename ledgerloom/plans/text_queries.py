@@ -320,28 +320,9 @@ def statutory_doc_detect(spark: SparkSession, d: str) -> DataFrame:
 _ALIASES = (("date", "transaction date"), ("date", "txn date"), ("description", "narration"), ("description", "particulars"), ("debit", "withdrawal amt"), ("credit", "deposit amt"), ("balance", "closing balance"))
 
 
-@R.add(f"""WITH h AS (SELECT DISTINCT trim(regexp_replace(lower(source_header), '[^a-z0-9]+', ' ', 'g')) AS header FROM column_mappings), a(field, alias) AS (VALUES {', '.join(f"('{f}', '{a}')" for f, a in _ALIASES)}),
-s AS (SELECT header, field, alias, 1 - levenshtein(header, alias) / greatest(length(header), length(alias))::DOUBLE AS score FROM h, a WHERE header <> ''),
-r AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY score DESC, alias) AS k, lead(score) OVER (PARTITION BY header ORDER BY score DESC, alias) AS second FROM s)
-SELECT header, field, score FROM r WHERE k = 1 AND (score >= 0.92 OR (score >= 0.85 AND score - coalesce(second, 0) >= 0.05))""")
-def join_header_alias(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct headers against the fixed alias list: near enough, and clearly nearer than the runner-up."""
-    h = table(spark, d, "column_mappings").select(F.trim(F.regexp_replace(F.lower("source_header"), "[^a-z0-9]+", " ")).alias("header")).where("header <> ''").distinct()
-    scored = F.array(*[F.struct((-(1 - F.levenshtein("header", F.lit(a)) / F.greatest(F.length("header"), F.lit(len(a))))).alias("m"), F.lit(a).alias("alias"), F.lit(f).alias("field")) for f, a in _ALIASES])
-    best = h.select("header", F.array_sort(scored).alias("s"))
-    score, second = -F.col("s")[0]["m"], -F.col("s")[1]["m"]
-    return best.where((score >= 0.92) | ((score >= 0.85) & (score - second >= 0.05))).select("header", F.col("s")[0]["field"].alias("field"), score.alias("score"))
-
-
 _TERMS = ("account", "balance", "cheque", "statement", "loan", "interest", "notice", "tax")
 
 
-@R.add(f"SELECT doc_id, array_to_string(list_filter([{', '.join(repr(t) for t in _TERMS)}], lambda t: contains(lower(text), t)), ',') AS terms FROM documents")
-def join_glossary(spark: SparkSession, d: str) -> DataFrame:
-    found = F.filter(F.array(*[F.lit(t) for t in _TERMS]), lambda t: F.lower("text").contains(t))
-    return docs(spark, d).select("doc_id", F.array_join(found, ",").alias("terms"))
-
-
 @R.add("""WITH t AS (SELECT DISTINCT lower(trim(source_text)) AS k, min(translated_text) OVER (PARTITION BY lower(trim(source_text))) AS v FROM translations WHERE source_text IS NOT NULL) SELECT r.result_id, t.v AS template FROM translations r LEFT JOIN t ON lower(trim(r.source_text)) = t.k""")
 def join_court_template(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "translations").withColumn("k", F.lower(F.trim("source_text")))
