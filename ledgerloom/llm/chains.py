@@ -70,8 +70,8 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: n
     """
     n = emit.shape[1]
     out = np.empty_like(emit)
-    kinds = [np.exp(trans)] + ([np.exp(across)] if across is not None else [])
-    first = np.exp(start)
+    kinds = [np.exp(x).astype(emit.dtype) for x in (trans, across) if x is not None]
+    first = np.exp(start).astype(emit.dtype)
     offsets = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     for part in batches(lengths):
         size = int(lengths[part[-1]])
@@ -88,7 +88,7 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: n
         e = np.exp(scores - scores.max(axis=2, keepdims=True))
         c = cross[index] & live if cross is not None else None
         alpha, scale = forward(e, kinds, c, np.broadcast_to(first, (len(part), n)), False)
-        beta = backward(e, kinds, c, scale, live, np.ones((len(part), n)))
+        beta = backward(e, kinds, c, scale, live, np.ones((len(part), n), e.dtype))
         gamma = alpha * beta
         gamma /= gamma.sum(axis=2, keepdims=True)
         out[index[live]] = gamma[live]
@@ -109,7 +109,7 @@ def _long(emit: np.ndarray, out: np.ndarray, at: int, size: int, kinds: list, fi
     alphas = [first[None, :]]
     for b in cuts[:-1]:
         alphas.append(forward(scores(b), kinds, kind(b), alphas[-1], b != at)[0][-1])
-    carried = np.ones((1, emit.shape[1]))
+    carried = np.ones((1, emit.shape[1]), emit.dtype)
     for b, before in zip(reversed(cuts), reversed(alphas)):
         e = scores(b)
         alpha, scale = forward(e, kinds, kind(b), before, b != at)
