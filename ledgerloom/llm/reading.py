@@ -125,6 +125,8 @@ def assign_levels(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     models, language = fit(docs, labels, id, text, level, max_labelled), train_language()
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where(
         F.col("id").isNotNull() & (F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")) >= least_words)
+        # texts mostly in another script aren't labelled by words first
+        & (F.regexp_count("text", F.lit(r"[\x{0900}-\x{0DFF}]")) * 2 <= F.length("text"))
     )
 
     rows = spread(rows, "id")
