@@ -63,6 +63,15 @@ def prebase_reorder(x: str, mark: str = "\ue000") -> str:
     return re.sub(f"{mark}((?:{CONSONANT}्)*{CONSONANT})", r"\1ि", x)
 
 
+def prebase_column(c: Column, mark: str = "\ue000") -> Column:
+    """The same for a column, as one pattern."""
+    return F.regexp_replace(c, f"{mark}((?:{CONSONANT}्)*{CONSONANT})", "$1ि")
+
+
+def repha_column(c: Column, mark: str = "\ue001") -> Column:
+    return F.regexp_replace(c, f"((?:{CONSONANT}्)*{CONSONANT}[ा-ौंँः]*){mark}", "र्$1")
+
+
 def repha_reorder(x: str, mark: str = "\ue001") -> str:
     """A repha typed after its syllable, in front of it."""
     return re.sub(f"((?:{CONSONANT}्)*{CONSONANT}[ा-ौंँः]*){mark}", r"र्\1", x)
@@ -97,7 +106,7 @@ def mac_repair(text: str) -> str:
         return text
 
 
-def _column(f, c: Column) -> Column:
+def by_text(f, c: Column) -> Column:
     @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else f(t))
@@ -106,16 +115,16 @@ def _column(f, c: Column) -> Column:
 
 
 def converted(c: Column, profile: Profile = TYPEWRITER) -> Column:
-    return _column(lambda t: convert(t, profile), c)
+    return by_text(lambda t: convert(t, profile), c)
 
 
-def reversed_column(c: Column, profile: Profile = TYPEWRITER) -> Column:
-    return _column(lambda t: reverse(t, profile), c)
+def reversedby_text(c: Column, profile: Profile = TYPEWRITER) -> Column:
+    return by_text(lambda t: reverse(t, profile), c)
 
 
 def composed(c: Column) -> Column:
     """Canonical composition, for which there is no built-in expression."""
-    return _column(lambda t: unicodedata.normalize("NFC", heal(t)), c)
+    return by_text(lambda t: unicodedata.normalize("NFC", heal(t)), c)
 
 
 def signature_score(c: Column, profile: Profile = TYPEWRITER) -> Column:

@@ -19,7 +19,6 @@ KEEP = (
 )
 _ANY = re.compile("|".join(f"(?P<{n}>{p})" for n, p in KEEP))
 HONORIFICS = r"(?:Shri|Smt|Mr|Mrs|Ms|Dr|Justice|Advocate|श्री|श्रीमती|डॉ)\.?"
-_NAMED = re.compile(rf"{HONORIFICS}\s+((?:[A-Z][\w'-]+|[ऀ-ॿ]+)(?:\s+[A-Z][\w'-]+)*)")
 #: Variants of wording and the one that is used.
 HARMONISED = ((r"\bcheque\s*book\b", "chequebook"), (r"\bpass\s*book\b", "passbook"), (r"\be-?mail\b", "email"), (r"\bA/c\b", "account"), (r"\bRs\.?\s*(?=\d)", "INR "))
 _ROMAN = [("chh", "छ"), ("ksh", "क्ष"), ("kh", "ख"), ("gh", "घ"), ("ch", "च"), ("jh", "झ"), ("th", "थ"), ("dh", "ध"), ("ph", "फ"), ("bh", "भ"), ("sh", "श"), *zip("kgjtdnpbmyrlvwshfzq", "कगजतदनपबमयरलववसहफजक")]

@@ -10,14 +10,9 @@ from pyspark.sql import functions as F
 BUCKETS = (("high", 0.90), ("good", 0.75), ("fair", 0.50))
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at index ``int(share * n)`` of the sorted values; not interpolated."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.least((F.lit(share) * F.size(ordered)).cast("int") + 1, F.size(ordered)))
-
-
 def nearest_rank_by(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
-    """(keys, value): the same by counting distinct values, so that no group is held in one place."""
+    """(keys, value): the value at index ``int(share * n)`` of the sorted values, not interpolated; distinct values are counted, so that
+    no group is held in one place."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("_n").over(Window.partitionBy(*keys))

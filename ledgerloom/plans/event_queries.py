@@ -134,21 +134,6 @@ def stream_active_spans(spark: SparkSession, d: str) -> DataFrame:
     return streams.last_state(spark, f"{d}/events.parquet")
 
 
-@R.add()
-def row_classify(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "statement_rows")
-    return t.select("row_id", rows.row_kind(F.array("date", "description", "debit", "credit", "balance")).alias("kind"))
-
-
-@R.add()
-def table_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Per statement, whether its first ten rows are at least three tenths transactions."""
-    w = Window.partitionBy("statement_id").orderBy("row_id")
-    t = table(spark, d, "statement_rows").withColumn("kind", rows.row_kind(F.array("date", "description", "debit", "credit", "balance"))).withColumn("n", F.row_number().over(w))
-    share = F.avg(F.when(F.col("kind") == "TRANSACTION", 1.0).otherwise(0.0))
-    return t.where("n <= 10").groupBy("statement_id").agg(F.when(share >= 0.3, "TRANSACTION").otherwise("UNRELATED").alias("table_kind"))
-
-
 @R.add()
 def header_row_score(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "column_mappings").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("column_index", "source_header"))), lambda x: x["source_header"]).alias("cells"))

@@ -112,7 +112,7 @@ def join_glossary(spark: SparkSession, d: str) -> DataFrame:
 #: Facts of statutory documents, each as the first group of a pattern.
 FIELDS = {
     "invoice_no": r"(?i:invoice)(?: ?(?i:no|number))?[.:# ]+([A-Z0-9][A-Z0-9/-]*[0-9][A-Z0-9/-]*)", "assessment_year": r"(?i:assessment year|A\.?Y\.?)[ :]*(20[0-9]{2}-[0-9]{2,4})", "acknowledgement": r"(?i:acknowledge?ment)(?: ?(?i:no|number))?[.:# ]+([0-9]{8,20})",
-    "case_no": r"(?i:case|appeal|petition|suit)(?: ?(?i:no|number))[.:# ]+([A-Z0-9][A-Z0-9/()-]*[0-9][A-Z0-9/()-]*)", "din": r"(?:DIN|(?i:director identification number))[.:# ]+([0-9]{8})(?:[^0-9]|$)", "section": r"(?i:section|u/s) ([0-9]+[A-Z]*(?:\([0-9a-z]+\))*)",
+    "case_no": r"(?i:case|appeal|petition|suit|matter)(?: ?(?i:no|number|numbered))[.:# ]+([A-Z0-9][A-Z0-9/()-]*[0-9][A-Z0-9/()-]*)", "din": r"(?:DIN|(?i:director identification number))[.:# ]+([0-9]{8})(?:[^0-9]|$)", "section": r"(?i:section|u/s) ([0-9]+[A-Z]*(?:\([0-9a-z]+\))*)",
 }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,7 +138,7 @@ def table_stitch(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def overlap_resolve(spark: SparkSession, d: str) -> DataFrame:
     """Of overlapping matches, the first, and of those that start together the longest; a fold over the sorted array."""
-    found = protect.apply_rows(docs(spark, d), "doc_id", "text", "a int, b int", lambda t: [(m.start(), m.end()) for p in protect.KEEP for m in protect.re.finditer(p[1], t)])
+    found = protect.apply_rows(docs(spark, d), "doc_id", "text", "a int, b int", lambda t: [(m.start(), m.end()) for p in protect.KEEP for m in re.finditer(p[1], t)])
     spans = F.array_sort(F.collect_list(F.struct("a", (-F.col("b")).alias("e"))))
     start = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("kept"))
     fold = F.aggregate("s", start, lambda acc, x: F.when(x["a"] >= acc["end"], F.struct((-x["e"]).alias("end"), (acc["kept"] + 1).alias("kept"))).otherwise(acc))
@@ -149,11 +151,6 @@ def span_protect(spark: SparkSession, d: str) -> DataFrame:
     return protect.apply_rows(table(spark, d, "translations"), "result_id", "source_text", "protected string, spans int, whole boolean", lambda t: [((p := protect.protect(t))[0], len(p[1]), protect.restore(*p) == (t, []))])
 
 
-@R.add()
-def proper_noun_guard(spark: SparkSession, d: str) -> DataFrame:
-    return protect.apply_rows(docs(spark, d), "doc_id", "text", "name string", lambda t: [(m[1],) for m in protect._NAMED.finditer(t)])
-
-
 @R.add()
 def transliterate_hinglish(spark: SparkSession, d: str) -> DataFrame:
     words = docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z]{2,})\b"), F.lit(1))).alias("word")).distinct()
@@ -163,12 +160,6 @@ def transliterate_hinglish(spark: SparkSession, d: str) -> DataFrame:
 _TERMS = {"account": "खाता", "statement": "विवरण", "cheque": "चेक", "savings account": "बचत खाता", "branch": "शाखा"}
 
 
-@R.add()
-def glossary_apply(spark: SparkSession, d: str) -> DataFrame:
-    pattern = protect.glossary_pattern(_TERMS)
-    return protect.apply_rows(docs(spark, d), "doc_id", "text", "text string, terms int", lambda t: [pattern.subn(lambda m: _TERMS[m[0]], t)])
-
-
 _HARMONY = (("cheque" + _B + "*book" + _CLOSE, "chequebook"), ("pass" + _B + "*book" + _CLOSE, "passbook"), ("e-?mail" + _CLOSE, "email"), ("A/c" + _CLOSE, "account"), (r"Rs\.?" + _B + r"*(\p{Nd})", "INR "))
 _HARMONISED = "text"
 for _pattern, _word in _HARMONY:
@@ -212,12 +203,6 @@ def script_segments(spark: SparkSession, d: str) -> DataFrame:
     return protect.apply_rows(table(spark, d, "text_spans"), "span_id", "text", "script string, piece string", protect.script_segments)
 
 
-@R.add()
-def wer(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "detections").where("bank_name is not null").select("detection_id", F.concat_ws("\u0001", "bank_name", F.initcap("bank_name")).alias("both"))
-    return protect.apply_rows(x, "detection_id", "both", "wer double", lambda t: [(protect.word_error_rate(*t.split("\u0001")),)])
-
-
 @R.add()
 def font_convert(spark: SparkSession, d: str) -> DataFrame:
     """Hindi spans put into glyph codes and converted back."""
@@ -236,19 +221,9 @@ def akshara_synthesis(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "text_spans").select("span_id", legacy.composed(F.col("text")).alias("text"))
 
 
-@R.add()
-def prebase_reorder(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "text_spans").select("span_id", legacy._column(lambda t: legacy.prebase_reorder(t), F.col("text")).alias("text"))
-
-
-@R.add()
-def reph_reorder(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "text_spans").select("span_id", legacy._column(lambda t: legacy.repha_reorder(t), F.col("text")).alias("text"))
-
-
 @R.add()
 def macroman_fix(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "text_spans").select("span_id", legacy._column(legacy.mac_repair, F.col("text")).alias("text"))
+    return table(spark, d, "text_spans").select("span_id", legacy.by_text(legacy.mac_repair, F.col("text")).alias("text"))
 
 
 @R.add(r"""SELECT span_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(^|\s)[\x{093E}-\x{094D}]') THEN 'LEADING_SIGN' END, CASE WHEN regexp_matches(text, '\x{094D}\x{094D}') THEN 'DOUBLE_VIRAMA' END,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import schema_drift, timestamps
-from ledgerloom.plans import document_queries, event_queries, ledger_queries, mapping_queries, more_queries, text_queries
+from ledgerloom.plans import document_queries, event_queries, ledger_queries, mapping_queries, more_queries, native_queries, text_queries
 from ledgerloom.session import table
 
 
@@ -28,7 +28,7 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.unify(table(spark, d, "column_mappings"), table(spark, d, "raw_records"))
 
 
-MODULES = (ledger_queries, text_queries, event_queries, more_queries, document_queries, mapping_queries)
+MODULES = (ledger_queries, text_queries, event_queries, more_queries, document_queries, mapping_queries, native_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p5_found": p5_found, "p5_alternatives": p5_alternatives, "p5_unified": p5_unified}
 _KEY = r"regexp_replace(lower(h), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
 SQL: dict[str, str] = {
