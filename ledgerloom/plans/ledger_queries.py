@@ -134,7 +134,7 @@ def sample_rows(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT *, sum(CASE WHEN kind = 'TRANSACTION' THEN 1 ELSE 0 END) OVER (PARTITION BY statement_id ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM k)
 SELECT statement_id, min(CASE WHEN kind = 'TRANSACTION' THEN row_id END) AS row_id, coalesce(string_agg(description, ' ' ORDER BY row_id), '') AS merged, count(*) AS n_parts FROM g GROUP BY statement_id, grp""")
 def continuation_merge(spark: SparkSession, d: str) -> DataFrame:
-    x = lines(spark, d).withColumn("kind", F.when(F.coalesce("debit", "credit").isNull(), "CONTINUATION").otherwise("TRANSACTION"))
+    x = written(lines(spark, d)).withColumn("kind", F.when(F.coalesce("debit", "credit").isNull(), "CONTINUATION").otherwise("TRANSACTION"))
     return ledger.continuation_merge(x, ["statement_id"], "row_id", "kind", "description").select("statement_id", "row_id", "merged", F.col("n_parts").cast("long"))
 
 

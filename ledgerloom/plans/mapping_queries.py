@@ -157,7 +157,7 @@ _NUMERIC = r"^[0-9OoIlSB]*[0-9][0-9OoIlSB]*([.,/-][0-9OoIlSB]+)+$"
 _MISREAD = ("OoIlSB", "001158")
 
 
-@R.add(f"""WITH t AS (SELECT span_id, string_split(trim(text), ' ') AS ws FROM text_spans WHERE trim(text) <> '')
+@R.add(f"""WITH t AS (SELECT span_id, string_split(trim(text), ' ') AS ws FROM text_spans)
 SELECT span_id, array_to_string(list_transform(ws, lambda w: CASE WHEN regexp_matches(w, '{_NUMERIC}') THEN translate(w, '{_MISREAD[0]}', '{_MISREAD[1]}')
   WHEN regexp_matches(w, '{_PAN}') AND regexp_matches(translate(left(w, 5), '01582', 'OISBZ') || translate(substr(w, 6, 4), 'OILSBZ', '011582') || translate(right(w, 1), '01582', 'OISBZ'), '^[A-Z]{{3}}[ABCFGHJLPT][A-Z][0-9]{{4}}[A-Z]$')
     THEN translate(left(w, 5), '01582', 'OISBZ') || translate(substr(w, 6, 4), 'OILSBZ', '011582') || translate(right(w, 1), '01582', 'OISBZ')
@@ -174,7 +174,7 @@ def critical_repair(spark: SparkSession, d: str) -> DataFrame:
             .when(w.rlike(_IFSC) & identifiers.verify_ifsc(ifsc), ifsc).otherwise(w)
         )
 
-    return table(spark, d, "text_spans").where(F.trim("text") != "").select("span_id", F.array_join(F.transform(F.split(F.trim("text"), " "), fix), " ").alias("repaired"))
+    return table(spark, d, "text_spans").select("span_id", F.array_join(F.transform(F.split(F.trim("text"), " "), fix), " ").alias("repaired"))
 
 
 _DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}"

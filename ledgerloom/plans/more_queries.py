@@ -340,8 +340,8 @@ def join_adjacent_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "statement_rows").select("row_id", F.lag("row_id").over(w).alias("prev"))
 
 
-@R.add("""WITH e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id FROM e WHERE k > 100""")
+@R.add("""WITH e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id FROM e WHERE k > 20""")
 def checkpoint_evict(spark: SparkSession, d: str) -> DataFrame:
-    """All but the hundred newest of each key."""
+    """All but the twenty newest of each key."""
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, d, "events").withColumn("k", F.row_number().over(w)).where("k > 100").select("user_id", "event_id")
+    return table(spark, d, "events").withColumn("k", F.row_number().over(w)).where("k > 20").select("user_id", "event_id")

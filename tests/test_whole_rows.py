@@ -9,7 +9,7 @@ from ledgerloom.functions import protect
 
 TEXTS = [
     None, "", "Rs. 500 by cheque  book , A/c ( 12 ) / x", "₹ 5 और Rs.५०० दिये , चेक / नकद", "खाताcheque book कुpass book।", "“e-mail” ; Rs 5  , ( a　)", "pass book a/C E-MAIL chequé cheque book2",
-    "O5 and 1l, ₹O5 5I", "कO5 ५l 5lक कुO5 5lा", "é5l O5é",
+    "O5 and 1l, ₹O5 5I", "कO5 ५l 5lक कुO5 5lा", "é5l O5é", "  1O,5OO.0l on l2/O3/2O24 ", "ABCPEL234F A8CPE12E4F ABCPED234F HDFCO12345I HDFC112345I",
 ]
 NAMES = [None, "", "Bank of India", "बैंक Of India", "BANQUE ÉTÉ", "Été Bank", "क़ Bank"]
 REFS = [None, "", "AB5D0123456789O1", "AXISR5202401010123456O", "AXISR12345678901234567", "O12345678S12", "AXIS-0123 4567_8901", "x"]
@@ -30,7 +30,21 @@ def cleaned(t):
 
 
 def repaired(t):
-    return re.sub(r"([0-9])[lI]\b", r"\g<1>1", re.sub(r"\bO([0-9])", r"0\1", t))
+    """By the kind of each word: numbers with separators, tax numbers, routing codes."""
+    letters, digits, misread = str.maketrans("01582", "OISBZ"), str.maketrans("OILSBZ", "011582"), str.maketrans("OoIlSB", "001158")
+
+    def fix(w):
+        if re.fullmatch(r"[0-9OoIlSB]*[0-9][0-9OoIlSB]*([.,/-][0-9OoIlSB]+)+", w):
+            return w.translate(misread)
+        if re.fullmatch("[A-Z0-9]{10}", w):
+            x = w[:5].translate(letters) + w[5:9].translate(digits) + w[9:].translate(letters)
+            return x if re.fullmatch("[A-Z]{3}[ABCFGHJLPT][A-Z][0-9]{4}[A-Z]", x) else w
+        if re.fullmatch("[A-Z0-9]{11}", w):
+            x = w[:4].translate(letters) + "0" + w[5:]
+            return x if re.fullmatch("[A-Z]{4}0[A-Z0-9]{6}", x) and w[4] not in "123456789" else w
+        return w
+
+    return " ".join(fix(w) for w in t.strip(" ").split(" "))
 
 
 def rate(name):
