@@ -9,7 +9,7 @@ from ledgerloom.functions import dates, identifiers, money
 from ledgerloom.operators import ledger
 from ledgerloom.plans import cells_sql
 from ledgerloom.plans.registry import Registry
-from ledgerloom.session import table, written
+from ledgerloom.session import spread, table, written
 
 R = Registry()
 
@@ -175,7 +175,8 @@ v AS (SELECT id, min(of_id) FILTER (proof) AS proven, min(of_id) FILTER (proof O
 
 def dated_lines(spark: SparkSession, d: str) -> DataFrame:
     """Statement rows with account, currency, day and time, those with a day and an amount."""
-    t = table(spark, d, "statement_rows").select("row_id", dates.parse_date("date").alias("day"), dates.parse_time("time").alias("clock"))
+    cells = spread(table(spark, d, "statement_rows").select("row_id", "date", "time"), "row_id")
+    t = cells.select("row_id", dates.parse_date("date").alias("day"), dates.parse_time("time").alias("clock"))
     heads = table(spark, d, "statements").select("statement_id", "account_key", F.coalesce("currency", F.lit("INR")).alias("currency"))
     # written, as every use would parse the amounts again, in one expression too long to be compiled
     x = written(lines(spark, d)).join(t, "row_id").join(heads, "statement_id", "left")
