@@ -20,6 +20,7 @@ from ledgerloom.session import kept
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """New event files at ``path``, a file or folder, as they arrive. The path goes in as a pattern, since a stream takes a
     plain one for a folder."""
+    path = path.rstrip("/")
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("at", F.col("ts").cast("timestamp"))
 
