@@ -110,24 +110,37 @@ def walk(trie: dict, text: str, start: list[int], widest: int) -> Iterator[tuple
     """(payload, row) of every word of ``trie`` that can be within ``widest`` edits: row[i] is the number of edits by which the
     word, after what ``start`` stands for, becomes the first i letters of ``text``."""
 
-    def down(node: dict, ch: str, above: list[int], before: list[int] | None, last: str) -> Iterator[tuple[object, list[int]]]:
-        row = [min(above[0] + 1, FAR)]
-        for i, c in enumerate(text, 1):
-            cost = min(row[i - 1] + 1, above[i] + 1, above[i - 1] + (c != ch))
-            if before is not None and i > 1 and c == last and text[i - 2] == ch:
-                cost = min(cost, before[i - 2] + 1)
-            row.append(cost)
-        if min(row) > widest:
+    # only what is within ``widest`` counts, and that lies in a narrow band of each row
+    n = len(text)
+
+    def down(node: dict, ch: str, above: list[int], before: list[int] | None, last: str, low: int, high: int) -> Iterator[tuple[object, list[int]]]:
+        row = [FAR] * (n + 1)
+        first, end, i = -1, -1, low
+        while i <= n and (i <= high + 1 or row[i - 1] < widest):
+            cost = above[i] + 1
+            if i:
+                c = text[i - 1]
+                cost = min(cost, row[i - 1] + 1, above[i - 1] + (c != ch))
+                if before is not None and i > 1 and c == last and text[i - 2] == ch:
+                    cost = min(cost, before[i - 2] + 1)
+            if cost <= widest:
+                row[i], end = cost, i
+                if first < 0:
+                    first = i
+            i += 1
+        if first < 0:
             return
         for payload in node.get("", ()):
             yield payload, row
         for c, child in node.items():
             if c:
-                yield from down(child, c, row, above, ch)
+                yield from down(child, c, row, above, ch, first, end)
 
-    for c, child in trie.items():
-        if c:
-            yield from down(child, c, start, None, "")
+    near = [i for i, d in enumerate(start) if d <= widest]
+    if near:
+        for c, child in trie.items():
+            if c:
+                yield from down(child, c, start, None, "", near[0], near[-1])
 
 
 class Catalogue:
@@ -275,14 +288,14 @@ class Catalogue:
                         offer(brand, kind, edits)
         return sorted((d, b) for b, d in found.items())
 
-    def match(self, name: str, hint: str | None = None) -> int:
-        """The entry that is meant, or -1. ``hint``: a code that begins with the brand's first letters."""
+    def match(self, name: str, hint: str | None = None, near: list[tuple[int, int]] | None = None) -> int:
+        """The entry that is meant, or -1. ``near``: what ``nearest`` gives, if it is known. ``hint``: a code that begins with the brand's first letters."""
         lead = (hint or "")[:4].casefold()
         parts = words(name)
         if len(parts) == 1 and parts[0] in self.initials:
             near = {b for brand, b in self.initials[parts[0]] if not lead or brand.startswith(lead)} or {b for _, b in self.initials[parts[0]]}
             return min(near) if len(near) == 1 else -1
-        near = self.nearest(name)
+        near = self.nearest(name) if near is None else near
         if not near:
             return -1
         best = [b for d, b in near if d == near[0][0]]
@@ -338,8 +351,10 @@ def _searched(df: DataFrame, catalogue: DataFrame, id: str, name: str, hint: str
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Catalogue(entries)
         for f in frames:
-            near = [[{"bank_id": b, "edits": d} for d, b in known.nearest(n) if b >= 0] for n in f.name_]
-            yield pd.DataFrame({"name_": f.name_, "hint": f.hint, "bank_id": pd.Series([known.match(n, h) for n, h in zip(f.name_, f.hint)], dtype="int64", index=f.index), "near": near})
+            found = [known.nearest(n) for n in f.name_]
+            meant = [known.match(n, h, x) for n, h, x in zip(f.name_, f.hint, found)]
+            near = [[{"bank_id": b, "edits": d} for d, b in x if b >= 0] for x in found]
+            yield pd.DataFrame({"name_": f.name_, "hint": f.hint, "bank_id": pd.Series(meant, dtype="int64", index=f.index), "near": near})
 
     return rows, written(names.mapInPandas(work, "name_ string, hint string, bank_id long, near array<struct<bank_id:long,edits:int>>"))
 
