@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerloom.functions.text import any_script
 from ledgerloom.operators.sentences import pieces
@@ -18,6 +20,8 @@ KEEP = (
     ("MONEY", r"(?:₹|Rs\.?|INR)\s*\d[\d,]*(?:\.\d+)?"), ("PERCENT", r"\d+(?:\.\d+)?\s*%"), ("NUMBER", r"\d[\d,]*(?:\.\d+)?"),
 )
 _ANY = re.compile("|".join(f"(?P<{n}>{p})" for n, p in KEEP))
+#: What words of terms are made of; any other character ends one.
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 HONORIFICS = r"(?:Shri|Smt|Mr|Mrs|Ms|Dr|Justice|Advocate|श्री|श्रीमती|डॉ)\.?"
 #: Variants of wording and the one that is used.
 HARMONISED = ((r"\bcheque\s*book\b", "chequebook"), (r"\bpass\s*book\b", "passbook"), (r"\be-?mail\b", "email"), (r"\bA/c\b", "account"), (r"\bRs\.?\s*(?=\d)", "INR "))
@@ -70,6 +74,43 @@ def glossary_pattern(terms: dict[str, str]) -> re.Pattern:
     return re.compile("|".join(re.escape(k) for k in sorted(terms, key=len, reverse=True)))
 
 
+def standing(text: str, term: str) -> Iterator[int]:
+    """Where ``term`` stands as whole words, from left to right. The character after one belongs to it, so that another one right
+    behind that character isn't found."""
+    i, free = text.find(term), 0
+    while i >= 0:
+        end = i + len(term)
+        if (i == 0 or i > free and text[i - 1] not in _WORD) and (end == len(text) or text[end] not in _WORD):
+            yield i
+            i = free = end + 1
+        else:
+            i += 1
+        i = text.find(term, i)
+
+
+def terms_in(text: str, terms: Sequence[str]) -> list[str]:
+    """The terms (small letters, longest first) in a text; one of several words takes them from those after it."""
+    # of İ, lower() would make two characters
+    rest, found = text.replace("İ", "i").lower(), []
+    for t in terms:
+        if " " not in t:
+            found += [t for _ in islice(standing(rest, t), 1)]
+        elif at := [*standing(rest, t)]:
+            found.append(t)
+            rest = "#".join(rest[a:b] for a, b in zip([0, *(i + len(t) for i in at)], [*at, len(rest)]))
+    return found
+
+
+def glossary_terms(c: Column, terms: Sequence[str]) -> Column:
+    """``terms_in`` of each text, with commas between them; none of a null."""
+
+    @F.pandas_udf(StringType())
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([",".join(terms_in(x.decode(errors="replace"), terms)) if x is not None else "" for x in texts], dtype=object)
+
+    return found(c.cast("binary"))
+
+
 def clauses(text: str, most: int = 3500) -> list[str]:
     """Paragraphs packed from whole sentences up to ``most`` characters; joined they give ``text``."""
     out: list[str] = []

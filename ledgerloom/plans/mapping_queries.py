@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import identifiers
+from ledgerloom.functions import identifiers, protect
 from ledgerloom.operators import ledger
 from ledgerloom.plans import cells_sql
 from ledgerloom.plans.registry import Registry
@@ -101,12 +101,7 @@ def _terms_sql() -> str:
 @R.add(f"SELECT doc_id, {_terms_sql()} AS terms FROM documents")
 def join_glossary(spark: SparkSession, d: str) -> DataFrame:
     """The terms of a glossary in each document, longer ones first; words of a longer term aren't found again."""
-    rest, parts = F.lower("text"), []
-    for t, p in zip(_ORDERED, _EDGED):
-        parts.append(F.when(rest.rlike(p), t))
-        if " " in t:
-            rest = F.regexp_replace(rest, p, "$1#$2")
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.array_join(F.array_compact(F.array(*parts)), ",")).alias("terms"))
+    return table(spark, d, "documents").select("doc_id", protect.glossary_terms(F.col("text"), _ORDERED).alias("terms"))
 
 
 #: Facts of statutory documents, each as the first group of a pattern.

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import time
 import unicodedata
 
 import __spark_entry__ as e
 from ledgerloom.functions import protect
+from ledgerloom.plans.mapping_queries import TERMS
 
 TEXTS = [
     None, "", "Rs. 500 by cheque  book , A/c ( 12 ) / x", "₹ 5 और Rs.५०० दिये , चेक / नकद", "खाताcheque book कुpass book।", "“e-mail” ; Rs 5  , ( a　)", "pass book a/C E-MAIL chequé cheque book2",
@@ -88,3 +90,30 @@ def test_utr_repair(spark, tmp_path):
     got = run(spark, tmp_path, "utr_repair", "statement_rows", "row_id int, reference_number string", REFS)
     want = [(None, None), ("", None), ("ABSD012345678901", "NEFT"), ("AXISR52024010101234560", "RTGS"), ("AXISR12345678901234567", "RTGS"), ("012345678512", "UPI"), ("AXIS012345678901", "NEFT"), ("X", None)]
     assert got == dict(enumerate(want))
+
+
+TERMED = [
+    None, "", "none of them", "Fixed deposit fixed deposit", "Fixed Deposit, fixed deposit", "cheque  book", "cheque\nbook cheque book\r\n", "home loan withdrawal", "İncome tax", "banK LOAN", "taxes _tax tax2 untaxed", "खाताtaxकर",
+    "\U0001f600tax\U0001f600interest rate\U0001f600interest rate", "savings account statement", "account statement account", "current account current account current account", "Power of attorney in the High Court; petition, notice.",
+]
+
+
+def terms(t):
+    """As the SQL has it: a term of several words is cut out before the next one is looked for."""
+    rest, found = (t or "").replace("İ", "i").lower(), []
+    for term in sorted(TERMS, key=lambda x: (-len(x), x)):
+        p = rf"(\A|[^A-Za-z0-9_]){term}(\Z|[^A-Za-z0-9_])"
+        found += [term] * bool(re.search(p, rest))
+        rest = re.sub(p, r"\1#\2", rest) if " " in term else rest
+    return ",".join(found)
+
+
+def test_join_glossary(spark, tmp_path):
+    assert run(spark, tmp_path, "join_glossary", "documents", "doc_id int, text string", TERMED) == {i: terms(t) for i, t in enumerate(TERMED)}
+
+
+def test_join_glossary_goes_through_a_text_few_times(spark, tmp_path):
+    """3 MB, for which hundreds of passes took minutes."""
+    began = time.time()
+    assert run(spark, tmp_path, "join_glossary", "documents", "doc_id int, text string", [("the bank खाता संख्या and branches " * 1000) + "home loan"] * 90) == dict.fromkeys(range(90), "home loan")
+    assert time.time() - began < 30
